@@ -21,5 +21,23 @@ def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.survivors(table(spark, sf_dir, "dup_groups"), table(spark, sf_dir, "file_catalog"), table(spark, sf_dir, "scan_trees"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors}
-SQL: dict[str, str] = {}
+def _profile(spark: SparkSession, sf_dir: str, purpose: str):
+    """The profile of a purpose; the table has two rows. Of several, the one with the smallest id."""
+    return table(spark, sf_dir, "volume_profiles").where(F.lower(F.trim("purpose")) == purpose).orderBy("profile_id").first()
+
+
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.splitting import split_texts
+
+    profile = _profile(spark, sf_dir, "split")
+    return split_texts(table(spark, sf_dir, "conversions"), "conv_id", "markdown", profile.max_bytes, profile.overlap_bytes)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_pieces(spark, sf_dir).where("piece_no = 0").select("conv_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p6_found": p6_found, "p6_pieces": p6_pieces}
+SQL: dict[str, str] = {
+    "p6_found": "SELECT conv_id FROM conversions WHERE strlen(markdown) > (SELECT max_bytes FROM volume_profiles WHERE purpose = 'split')",
+}

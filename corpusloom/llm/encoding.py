@@ -23,10 +23,11 @@ from corpusloom.llm.sketch import hashed_counts, lookup
 @dataclass(frozen=True)
 class Settings:
     pair_bits: int = 20  # cells of the counts of pairs and characters (two rows)
-    floor: float = 0.02  # least expected share of texts of a pair
-    improbable: float = 2.2  # a pair is improbable by what its score lies below minus this
+    floor: float = 0.05  # least expected share of texts of a pair
+    improbable: float = 0.8  # a pair is improbable by what its score lies below minus this
+    suspect: float = 0.4  # what a pair must be more improbable than that to raise the score of a suspect segment
     gain: float = 1.5  # least improbability that a mapping must take away
-    left: float = 0.45  # greatest share of it that may be left
+    left: float = 0.5  # greatest share of it that may be left
 
 
 #: The mistakes tested, as (decoded as, should have been decoded as), the likeliest first.
@@ -80,68 +81,88 @@ def _pairs(codes: np.ndarray) -> np.ndarray:
     return (codes[:-1] << np.uint64(32)) | codes[1:]
 
 
+#: Entries of a worker's memories of pairs and runs, after which they begin anew.
+_MEMORY = 1 << 18
+
+
 class Scorer:
-    """Scores of pairs from counts over the whole corpus (tables of fixed size)."""
+    """Scores of pairs from counts over the whole corpus (a table of fixed size)."""
 
     def __init__(self, counts: np.ndarray, total: int, s: Settings):
         self.counts, self.total, self.s = counts, max(total, 1), s
-
-    def improbability(self, codes: np.ndarray) -> np.ndarray:
-        """Of each adjacent pair, how far its mutual information lies below what is usual; negative for usual pairs."""
-        n = (lookup(self.counts, _pairs(codes)) + 0.3) / self.total
-        c = lookup(self.counts, codes) / self.total
-        mutual = np.log(n / (c[:-1] * c[1:] + self.s.floor))
-        return -mutual - self.s.improbable
-
-    def penalty(self, text: str) -> float:
-        codes = _codes(text)
-        return float(np.maximum(self.improbability(codes), 0).sum()) if len(codes) > 1 else 0.0
-
-
-def segments(score: np.ndarray) -> list[tuple[int, int]]:
-    """All maximal-scoring segments of a sequence (Ruzzo and Tompa), as half-open ranges, in linear time."""
-    held: list[list[float]] = []  # start, end, sum before, sum through
+        self.known: dict[str, float] = {}
+        self.inverted: dict[str, list[tuple[tuple[str, str], str]]] = {}
+        self.undone: dict[tuple[str, str, str], tuple | None] = {}
+
+    def improbability(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Of pairs of characters, how far their mutual information lies below what is usual; negative for usual pairs."""
+        n = (lookup(self.counts, (first << np.uint64(32)) | second) + 0.3) / self.total
+        a, b = lookup(self.counts, first) / self.total, lookup(self.counts, second) / self.total
+        return -np.log(n / (a * b + self.s.floor)) - self.s.improbable
+
+    def penalty(self, text: str, limit: float = float("inf")) -> float:
+        """The improbability of a text: what its improbable pairs sum up to; counting ends beyond ``limit``."""
+        total, known = 0.0, self.known
+        for i in range(len(text) - 1):
+            p = known.get(pair := text[i : i + 2])
+            if p is None:
+                if len(known) >= _MEMORY:
+                    known.clear()
+                codes = _codes(pair)
+                p = known[pair] = max(0.0, float(self.improbability(codes[:1], codes[1:])[0]))
+            total += p
+            if total > limit:
+                break
+        return total
+
+    def inversions(self, run: str) -> list[tuple[tuple[str, str], str]]:
+        """Every mistake that the run's bytes allow to undo, with the result."""
+        if (got := self.inverted.get(run)) is None:
+            got = [(m, new) for m in MISTAKES if (new := invert(run, *m)) is not None]
+            if len(run) <= 8:
+                if len(self.inverted) >= _MEMORY:
+                    self.inverted.clear()
+                self.inverted[run] = got
+        return got
+
+
+def segments(score: np.ndarray, least: float, drop: float = 6.0) -> list[tuple[int, int]]:
+    """The maximum-scoring segments of a sequence that reach ``least``, as half-open ranges, in one pass.
+
+    A segment ends where its sum has fallen to nothing, or by ``drop`` below its best, and is cut back to its best end.
+    """
     ahead = np.concatenate([[0.0], np.cumsum(score)])
-    for i in np.flatnonzero(score > 0).tolist():
-        _push(held, i, i + 1, float(ahead[i]), float(ahead[i + 1]))
-    return [(int(a), int(b)) for a, b, _, _ in held]
-
-
-def _push(held: list[list[float]], start: float, end: float, before: float, through: float) -> None:
-    while True:
-        j = len(held) - 1
-        while j >= 0 and held[j][2] >= before:
-            j -= 1
-        if j < 0 or held[j][3] >= through:
-            held.append([start, end, before, through])
-            return
-        start, before = held[j][0], held[j][2]
-        del held[j:]
-
-
-def suspect_runs(text: str, codes: np.ndarray, scorer: Scorer) -> list[tuple[int, int]]:
-    """Character ranges to test, widened to whole stretches of characters beyond ASCII and joined where they touch."""
-    score = scorer.improbability(codes)
+    at = np.flatnonzero(score > 0)
+    found: list[tuple[int, int]] = []
+    base = best = 0.0
+    start = end = -1
+    for i, before, through in zip(at.tolist(), ahead[at].tolist(), ahead[at + 1].tolist()):
+        if start < 0 or before <= base or best - (before - base) > drop:
+            if start >= 0 and best >= least:
+                found.append((start, end))
+            start, base, best = i, before, 0.0
+        if through - base > best:
+            best, end = through - base, i + 1
+    if start >= 0 and best >= least:
+        found.append((start, end))
+    return found
+
+
+def suspect_runs(codes: np.ndarray, scorer: Scorer) -> list[tuple[int, int]]:
+    """Character ranges to test: the stretches of characters beyond ASCII that a maximum-scoring segment touches."""
     beyond = codes > 126
-    score = np.where(beyond[:-1] | beyond[1:], score, np.minimum(score, -0.5))
-    runs: list[list[int]] = []
-    for a, b in segments(score):
-        a, b = a, b + 1
-        while a > 0 and beyond[a - 1]:
-            a -= 1
-        while b < len(text) and beyond[b]:
-            b += 1
-        while a < b and not beyond[a]:
-            a += 1
-        while b > a and not beyond[b - 1]:
-            b -= 1
-        if a == b:
-            continue
-        if runs and a <= runs[-1][1] + 1:
-            runs[-1][1] = max(b, runs[-1][1])
-        else:
-            runs.append([a, b])
-    return [(a, b) for a, b in runs]
+    score = np.full(len(codes) - 1, -0.5)  # a pair of ASCII characters neither begins nor bridges a run
+    at = np.flatnonzero(beyond[:-1] | beyond[1:])
+    score[at] = scorer.improbability(codes[at], codes[at + 1]) - scorer.s.suspect
+    found = segments(score, scorer.s.gain)
+    if not found:
+        return []
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], beyond, [False]]).astype(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    a, b = (np.array(c) for c in zip(*found))
+    # A segment of pairs [a, b) has the characters [a, b]; of the stretches, those that end after a and start by b.
+    touched = np.searchsorted(b, starts, "left") < np.searchsorted(a, ends, "left")
+    return list(zip(starts[touched].tolist(), ends[touched].tolist()))
 
 
 @dataclass
@@ -163,22 +184,19 @@ def examine(text: str, scorer: Scorer) -> Verdict:
     restored = lost = outside = 0
     for layer in range(3):  # a text can be wrongly decoded several times over
         codes = _codes(out)
-        runs = suspect_runs(out, codes, scorer)
+        runs = suspect_runs(codes, scorer)
         parts, at, changed = [], 0, 0
         usual: tuple[str, str] | None = None
         for a, b in runs:
             if a < at:
                 continue
-            best = None
-            for mistake in ([usual] if usual else []) + MISTAKES:
-                got = _undo(out, a, b, mistake, scorer)
-                if got and (best is None or got[0] > best[0] + 0.5):
-                    best = (*got, mistake)
-                    if mistake == usual or got[1] < 0.05 and got[0] > 6:
-                        break
+            best = _undo(out, a, b, usual, scorer) if usual else None
+            if best is None or best[1] > 0.2:
+                best = _undo_any(out, a, b, scorer) or best
             if best is None:
                 continue
-            _, _, a, b, new, mistake = best
+            _, _, wider, new, mistake = best
+            b += wider
             if layer == 0:
                 outside += not any(x < a and b < y for x, y in quoted)
             usual = mistake
@@ -199,23 +217,48 @@ def examine(text: str, scorer: Scorer) -> Verdict:
     return Verdict(out, outside > 0, restored, lost, mistakes)
 
 
-def _undo(text: str, a: int, b: int, mistake: tuple[str, str], scorer: Scorer) -> tuple[float, float, int, int, str] | None:
-    """(gain, share left, range, new text) of undoing a mistake in a run, tried as it is and one ASCII character wider."""
+_WIDE = {"gb18030", "big5", "shift_jis", "euc_kr"}
+
+
+def _undo(text: str, a: int, b: int, only: tuple[str, str] | None, scorer: Scorer) -> tuple[float, float, int, str, tuple[str, str]] | None:
+    """(gain, share left, characters taken in after the run, new text, mistake) of the best mistake undone in a run; of ``only`` one where it is given.
+
+    An encoding of two bytes may have drawn in the ASCII character after the run, so the run is also tried with it.
+    """
     best = None
-    for x, y in ((a, b), (a, min(b + 1, len(text)))) if mistake[0] in ("gb18030", "big5", "shift_jis", "euc_kr") or mistake[1] in ("gb18030", "big5") else ((a, b),):
-        new = invert(text[x:y], *mistake)
-        if new is None:
+    s, before = scorer.s, text[max(0, a - 1) : a]
+    for y in (b, b + 1) if b < len(text) else (b,):
+        run, after = text[a:y], text[y : y + 1]
+        old = scorer.penalty(before + run + after)
+        if old < s.gain:
             continue
-        before, after = text[max(0, x - 1) : x], text[y : y + 1]
-        old = scorer.penalty(before + text[x:y] + after)
-        now = scorer.penalty(before + new + after)
-        if _LOST in new and _LOST not in text[x:y]:
-            now = min(now, old * scorer.s.left)  # the sign of a loss, itself wrongly decoded
-        if old - now >= scorer.s.gain and now <= scorer.s.left * old and (best is None or old - now > best[0]):
-            best = (old - now, now / old, x, y, new)
+        if only:
+            tried = [(only, invert(run, *only))]
+        else:
+            tried = scorer.inversions(run)
+        for mistake, new in tried:
+            if new is None or y > b and not _WIDE & {*mistake}:
+                continue
+            now = scorer.penalty(before + new + after, min(s.left * old, old - s.gain, old - best[0] if best else old))
+            if _LOST in new and _LOST not in run:
+                now = min(now, old * s.left)  # the sign of a loss, itself wrongly decoded
+            if old - now >= s.gain and now <= s.left * old and (best is None or old - now > best[0] + 1e-9):
+                best = (old - now, now / old, y - b, new, mistake)
     return best
 
 
+def _undo_any(text: str, a: int, b: int, scorer: Scorer):
+    """``_undo`` of any mistake; for a short run, remembered with the characters around it, on which alone it depends."""
+    if b - a > 12:
+        return _undo(text, a, b, None, scorer)
+    key = (text[max(0, a - 1) : a], text[a:b], text[b : b + 2])
+    if key not in scorer.undone:
+        if len(scorer.undone) >= _MEMORY:
+            scorer.undone.clear()
+        scorer.undone[key] = _undo(text, a, b, None, scorer)
+    return scorer.undone[key]
+
+
 def corpus_scores(df: DataFrame, text: str, s: Settings) -> Scorer:
     """Count, over all texts, in how many each pair and each character stands."""
 

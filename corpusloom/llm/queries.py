@@ -79,7 +79,20 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_restored(spark, sf_dir).select("conv_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p3_found": p3_found, "p3_classes": p3_classes, "p2_restored": p2_restored, "p2_found": p2_found}
+def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.scans import repair_scans, scanned_records
+
+    ocr, conversions = table(spark, sf_dir, "ocr_results"), table(spark, sf_dir, "conversions")
+    records = materialize(scanned_records(ocr, conversions, table(spark, sf_dir, "file_catalog")), "scans")
+    return repair_scans(records, conversions.select("markdown").unionAll(ocr.select("text")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    defects = F.array(*(F.when(F.col(d) > 0, F.lit(d)) for d in ("hyphen", "misread", "furniture")))
+    return p4_repaired(spark, sf_dir).select("src", "rec_id", F.explode(F.array_compact(defects)).alias("defect"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p3_found": p3_found, "p3_classes": p3_classes, "p2_restored": p2_restored, "p2_found": p2_found, "p4_repaired": p4_repaired, "p4_found": p4_found}
 SQL: dict[str, str] = {
     "p6_found": "SELECT conv_id FROM conversions WHERE strlen(markdown) > (SELECT max_bytes FROM volume_profiles WHERE purpose = 'split')",
 }

@@ -92,7 +92,22 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_repaired(spark, sf_dir).select("src", "rec_id", F.explode(F.array_compact(defects)).alias("defect"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p3_found": p3_found, "p3_classes": p3_classes, "p2_restored": p2_restored, "p2_found": p2_found, "p4_repaired": p4_repaired, "p4_found": p4_found}
+def p10_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.residue import residue
+
+    return residue(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_residue(spark, sf_dir).select("doc_id")
+
+
+def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that remain, with all their columns."""
+    return table(spark, sf_dir, "documents").join(p10_found(spark, sf_dir), "doc_id", "left_anti")
+
+
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p3_found": p3_found, "p3_classes": p3_classes, "p2_restored": p2_restored, "p2_found": p2_found, "p4_repaired": p4_repaired, "p4_found": p4_found, "p10_residue": p10_residue, "p10_found": p10_found, "p10_kept": p10_kept}
 SQL: dict[str, str] = {
     "p6_found": "SELECT conv_id FROM conversions WHERE strlen(markdown) > (SELECT max_bytes FROM volume_profiles WHERE purpose = 'split')",
 }

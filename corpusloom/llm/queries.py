@@ -107,7 +107,45 @@ def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(p10_found(spark, sf_dir), "doc_id", "left_anti")
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p3_found": p3_found, "p3_classes": p3_classes, "p2_restored": p2_restored, "p2_found": p2_found, "p4_repaired": p4_repaired, "p4_found": p4_found, "p10_residue": p10_residue, "p10_found": p10_found, "p10_kept": p10_kept}
+def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.packing import pack, piece_sizes
+
+    profile = _profile(spark, sf_dir, "pack")
+    packed = pack(piece_sizes(table(spark, sf_dir, "pieces")), "item", "size", "queue", profile.max_bytes - profile.reserve_bytes)
+    return packed.withColumnRenamed("item", "piece_id")
+
+
+def p7_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.packing import pack
+
+    profile = _profile(spark, sf_dir, "pack")
+    packed = pack(table(spark, sf_dir, "file_catalog"), "scan_row_id", "size_bytes", "kind", profile.max_bytes - profile.reserve_bytes)
+    return packed.withColumnRenamed("item", "scan_row_id")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes used and the number of parts of each container."""
+    return p7_pack(spark, sf_dir).groupBy("container").agg(F.sum(F.col("byte_end") - F.col("byte_start")).alias("used_bytes"), F.count("*").alias("parts"))
+
+
+def _p9(spark: SparkSession, sf_dir: str):
+    from corpusloom.llm.mixing import mix
+    from corpusloom.llm.tokens import encode_corpus
+
+    documents = table(spark, sf_dir, "documents").withColumn("h", F.md5("text"))
+    counted = materialize(encode_corpus(documents, "doc_id", "text", count_only=True, keep=("source", "h")), "counted")
+    return mix(counted, table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p9(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p9(spark, sf_dir)[1]
+
+
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p3_found": p3_found, "p3_classes": p3_classes, "p2_restored": p2_restored, "p2_found": p2_found, "p4_repaired": p4_repaired, "p4_found": p4_found, "p10_residue": p10_residue, "p10_found": p10_found, "p10_kept": p10_kept, "p7_pack": p7_pack, "p7_files": p7_files, "p7_fill": p7_fill, "p9_mix": p9_mix, "p9_shares": p9_shares}
 SQL: dict[str, str] = {
     "p6_found": "SELECT conv_id FROM conversions WHERE strlen(markdown) > (SELECT max_bytes FROM volume_profiles WHERE purpose = 'split')",
 }

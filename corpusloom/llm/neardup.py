@@ -37,19 +37,17 @@ class Settings:
     copies: int = 16  # a class of up to so many copies is written out as pairs; a larger one as pairs with its representative
 
 
-#: Fixed value: what Python's ``str.split`` takes for white space, as a Java pattern.
-SPACES = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-
 #: Random draws of the sampling, per cell of a shingle's hash: tables of fixed size instead of a generator per shingle.
 _DRAWS = 1 << 14
 
 
 @lru_cache(maxsize=1)
-def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _draws() -> tuple[np.ndarray, ...]:
+    """r, 1/r, beta and ln c - r of Ioffe's sampling (r and c gamma-distributed, beta uniform)."""
     rng = np.random.default_rng(20240229)
     r = rng.gamma(2.0, 1.0, _DRAWS).astype(np.float32)
     c = np.log(rng.gamma(2.0, 1.0, _DRAWS)).astype(np.float32)
-    return r, c, rng.random(_DRAWS).astype(np.float32)
+    return r, (1 / r).astype(np.float32), rng.random(_DRAWS).astype(np.float32), (c - r).astype(np.float32)
 
 
 class _Words(dict):
@@ -65,13 +63,17 @@ class _Words(dict):
 _words = _Words()
 
 
-def shingles(text: str | None, k: int, least: int = 0) -> np.ndarray:
-    """Hashes of all runs of ``k`` words (lower-cased, split at white space), one per position; empty below ``least`` words."""
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hashes of the words of a text: lower-cased, split at white space."""
     found = text.lower().split() if text else []
-    n = len(found)
+    return np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+
+
+def shingles(h: np.ndarray, k: int, least: int = 0) -> np.ndarray:
+    """Hashes of all runs of ``k`` words, one per position, from the words' hashes; empty below ``least`` words."""
+    n = len(h)
     if n < max(k, least, 1):
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, found), np.uint64, n)
     out = np.zeros(n - k + 1, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(k):
@@ -88,24 +90,28 @@ def weights(hashes: np.ndarray, counts: np.ndarray, total: int) -> tuple[np.ndar
 
 def samples(distinct: np.ndarray, weight: np.ndarray, n: int, step: int = 2048) -> np.ndarray:
     """``n`` consistent weighted samples: of each, a hash of the drawn shingle and its level."""
-    r_of, c_of, b_of = _draws()
-    logw = np.log(weight)[:, None]
-    salts = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+    r_of, inverse, beta_of, shift = _draws()
+    logw = np.log(weight)[None, :]
+    salts = ((np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1))[:, None]
     best = np.full(n, np.inf, np.float32)
     sign = np.zeros(n, np.uint64)
+    rows = np.arange(n)
     with np.errstate(over="ignore"):
         for at in range(0, len(distinct), step):  # in steps, so that a very long text needs no more memory than a short one
             h = distinct[at : at + step]
-            draw = ((h[:, None] * salts) >> np.uint64(50)).astype(np.int32)
-            r, b = r_of[draw], b_of[draw]
-            level = np.floor(logw[at : at + step] / r + b)
-            a = c_of[draw] - r * (level - b) - r
-            first = a.argmin(axis=0)
-            cols = np.arange(n)
-            least = a[first, cols]
+            draw = ((salts * h[None, :]) >> np.uint64(50)).view(np.int64)
+            beta, level = beta_of.take(draw), inverse.take(draw)
+            level *= logw[:, at : at + step]
+            level += beta
+            np.floor(level, out=level)
+            a = level - beta
+            a *= r_of.take(draw)
+            np.subtract(shift.take(draw), a, out=a)
+            first = a.argmin(axis=1)
+            least = a[rows, first]
             better = least < best
             best[better] = least[better]
-            drawn = mix(h[first] ^ (level[first, cols].astype(np.int64).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)))
+            drawn = mix(h[first] ^ (level[rows, first].astype(np.int64).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)))
             sign[better] = drawn[better]
     return sign
 
@@ -118,25 +124,14 @@ def _band_keys(sign: np.ndarray, rows: int, bands: int) -> np.ndarray:
         return (key + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def classes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``id, rep, copies``: the class of every non-null text, by its lower-cased words. The representative is the smallest id.
-
-    Only 128 bits of a text cross the shuffle, pre-aggregated; a class that holds a third of all rows is one row after it.
-    """
-    words = F.trim(F.regexp_replace(F.lower(F.col(text)), SPACES, " "))
-    hashed = df.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.md5(words).alias("h"))
-    reps = hashed.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    return hashed.join(reps, "h").select("id", "rep", "copies")
-
-
-def similar_classes(texts: DataFrame, member: DataFrame, s: Settings) -> DataFrame:
-    """``a, b, weighted, shared``: pairs of representatives among ``texts(id, text)`` whose share of common shingles reaches the least."""
-    spark = texts.sparkSession
+def signatures(texts: DataFrame, s: Settings) -> tuple[DataFrame, object, int]:
+    """``id, h, long, bands`` of every text of ``texts(id, text)``: 128 bits of its word sequence, whether it has ``least_words``,
+    and its band keys (null if it has no shingle); with the broadcast shingle counts and the number of texts. Two passes."""
 
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         held, n = [], 0
-        for t in batch.column(1).to_pylist():
-            if len(found := np.unique(shingles(t, s.words, s.least_words))):
+        for t in batch.column(0).to_pylist():
+            if len(found := np.unique(shingles(word_hashes(t), s.words, s.least_words))):
                 held.append(found)
                 n += len(found)
             if n > 1 << 19:
@@ -146,25 +141,41 @@ def similar_classes(texts: DataFrame, member: DataFrame, s: Settings) -> DataFra
             yield np.concatenate(held)
 
     total = texts.count()
-    table = hashed_counts(texts, keys, s.idf_bits)
-    sent = spark.sparkContext.broadcast(table.astype(np.uint32 if table.max(initial=0) < 1 << 32 else np.int64))  # 2**idf_bits cells, whatever the data
+    table = hashed_counts(texts.select("text"), keys, s.idf_bits)
+    sent = texts.sparkSession.sparkContext.broadcast(table.clip(max=(1 << 32) - 1).astype(np.uint32))  # 2**idf_bits cells, whatever the data
 
-    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value
         for batch in batches:
-            ids, bands = [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if len(found := shingles(t, s.words, s.least_words)):
+            whole, long, bands = [], [], []
+            for t in batch.column(1).to_pylist():
+                words = word_hashes(t)
+                whole.append(xxhash.xxh3_128_digest(words.tobytes()))
+                long.append(len(words) >= s.least_words)
+                if len(found := shingles(words, s.words, s.least_words)):
                     distinct, weight = weights(found, counts, total)
                     bands.append(_band_keys(samples(distinct, weight, s.rows * s.bands), s.rows, s.bands))
-                    ids.append(i)
-            if ids:
-                starts = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * s.bands)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(starts, pa.array(np.concatenate(bands)))], ["id", "bands"])
+                else:
+                    bands.append(None)
+            cols = [batch.column(0), pa.array(whole, pa.binary()), pa.array(long), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "h", "long", "bands"])
+
+    return materialize(texts.mapInArrow(sign, "id bigint, h binary, long boolean, bands array<bigint>"), "signs"), sent, total
+
+
+def classes(signs: DataFrame) -> DataFrame:
+    """``id, rep, copies, long``: the class of every text, by its word sequence. The representative is the smallest id.
+
+    Only the hash of a text crosses the shuffle, pre-aggregated; a class that holds a third of all rows is one row after it.
+    """
+    reps = signs.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    return signs.select("id", "h", "long").join(reps, "h").select("id", "rep", "copies", "long")
+
 
+def similar_classes(texts: DataFrame, signs: DataFrame, member: DataFrame, sent: object, total: int, s: Settings) -> DataFrame:
+    """``a, b, weighted, shared``: pairs of representatives whose share of common shingles reaches the least."""
     reps = member.where("id = rep").select("id")
-    banded = materialize(texts.mapInArrow(band, "id bigint, bands array<bigint>").join(reps, "id", "left_semi"), "bands")
-    banded = banded.select("id", F.explode("bands").alias("band"))
+    banded = signs.where("bands IS NOT NULL").select("id", "bands").join(reps, "id", "left_semi").select("id", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     crowd = banded.join(shared, "band").withColumn("blocks", F.ceil(F.col("n") / s.block).cast("int"))
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -184,7 +195,7 @@ def similar_classes(texts: DataFrame, member: DataFrame, s: Settings) -> DataFra
         for batch in batches:
             ids, hs, ws = [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                distinct, weight = weights(shingles(t, s.words, s.least_words), counts, total)
+                distinct, weight = weights(shingles(word_hashes(t), s.words, s.least_words), counts, total)
                 ids.append(i)
                 hs.append(distinct.tobytes())
                 ws.append(weight.tobytes())
@@ -213,23 +224,24 @@ def similar_classes(texts: DataFrame, member: DataFrame, s: Settings) -> DataFra
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """Pairs between class representatives, ``a, b, weighted, shared``, and the membership ``id, rep, copies``.
+    """Pairs between class representatives, ``a, b, weighted, shared``, and the membership ``id, rep, copies, long``.
 
-    Null texts belong to no class. Texts of fewer than ``least_words`` words are in a class but have no partners, not even copies.
+    Null texts belong to no class. Texts of fewer than ``least_words`` words (not ``long``) are in a class but have no partners.
     """
-    member = materialize(classes(df, key, text), "classes")
     texts = df.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
-    return similar_classes(texts, member, s), member
+    signs, sent, total = signatures(texts, s)
+    member = materialize(classes(signs), "classes")
+    return similar_classes(texts, signs, member, sent, total, s), member
 
 
-def written_out(pairs: DataFrame, member: DataFrame, long_enough: DataFrame, s: Settings) -> DataFrame:
+def written_out(pairs: DataFrame, member: DataFrame, s: Settings) -> DataFrame:
     """``a, b`` with a < b: pairs of rows. Classes of up to ``s.copies`` copies are written out in full; a larger class stays with
     its representative, as pairs of it and each copy, so that a class of a third of all rows gives as many pairs as rows."""
     small = member.where(F.col("copies") <= s.copies).select("id", "rep")
     speak = small.union(member.where((F.col("copies") > s.copies) & (F.col("id") == F.col("rep"))).select("id", "rep"))
     across = pairs.select("a", "b").join(speak.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(speak.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")
     across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    live = member.where("copies > 1").join(long_enough, F.col("rep") == long_enough["long_id"], "left_semi")
+    live = member.where("copies > 1 AND long")
     stars = live.where((F.col("copies") > s.copies) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("id").alias("b"))
     few = live.where(F.col("copies") <= s.copies).groupBy("rep").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # at most s.copies ids
     within = few.select(F.explode("ids").alias("a"), "ids").select("a", F.explode(F.expr("filter(ids, x -> x > a)")).alias("b"))

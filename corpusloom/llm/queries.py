@@ -49,22 +49,20 @@ def _p3(spark: SparkSession, sf_dir: str):
     setting = N.Settings(words=3, similarity=0.6, least_words=40)
     rows = table(spark, sf_dir, "conversions").where("status = 'success'").select("conv_id", "markdown")
     pairs, member = N.near_duplicates(rows, "conv_id", "markdown", setting)
-    return rows, pairs, member, setting
+    return pairs, member, setting
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import neardup as N
 
-    rows, pairs, member, setting = _p3(spark, sf_dir)
-    spaces = F.split(F.trim(F.regexp_replace("markdown", N.SPACES, " ")), " ")
-    long_enough = rows.where(F.size(spaces) >= setting.least_words).select(F.col("conv_id").alias("long_id"))
-    found = N.written_out(pairs, member, long_enough, setting)
+    pairs, member, setting = _p3(spark, sf_dir)
+    found = N.written_out(pairs, member, setting)
     return found.select(F.col("a").alias("conv_a"), F.col("b").alias("conv_b"))
 
 
 def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per text: its class and the number of links of the class to other classes."""
-    _, pairs, member, _ = _p3(spark, sf_dir)
+    pairs, member, _ = _p3(spark, sf_dir)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     return member.join(ends, "rep", "left").select(F.col("id").alias("conv_id"), F.col("rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
 

@@ -73,6 +73,13 @@ def invert(run: str, wrong: str, right: str) -> str | None:
     return None if new == run or any(ch < " " and ch not in "\n\t\r" or "\x7f" <= ch < "\xa0" for ch in new) else new
 
 
+def _undone(run: str, mistake: tuple[str, str]) -> list[str]:
+    """The run with a mistake undone once, and also twice where UTF-8 was wrongly decoded again and again."""
+    once = invert(run, *mistake)
+    twice = invert(once, *mistake) if once is not None and mistake[1] == "utf-8" and not once.isascii() else None
+    return [x for x in (once, twice) if x is not None]
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
@@ -118,7 +125,7 @@ class Scorer:
     def inversions(self, run: str) -> list[tuple[tuple[str, str], str]]:
         """Every mistake that the run's bytes allow to undo, with the result."""
         if (got := self.inverted.get(run)) is None:
-            got = [(m, new) for m in MISTAKES if (new := invert(run, *m)) is not None]
+            got = [(m, new) for m in MISTAKES for new in _undone(run, m)]
             if len(run) <= 8:
                 if len(self.inverted) >= _MEMORY:
                     self.inverted.clear()
@@ -233,11 +240,11 @@ def _undo(text: str, a: int, b: int, only: tuple[str, str] | None, scorer: Score
         if old < s.gain:
             continue
         if only:
-            tried = [(only, invert(run, *only))]
+            tried = [(only, new) for new in _undone(run, only)]
         else:
             tried = scorer.inversions(run)
         for mistake, new in tried:
-            if new is None or y > b and not _WIDE & {*mistake}:
+            if y > b and not _WIDE & {*mistake}:
                 continue
             now = scorer.penalty(before + new + after, min(s.left * old, old - s.gain, old - best[0] if best else old))
             if _LOST in new and _LOST not in run:

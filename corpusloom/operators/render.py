@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import files as X
+from corpusloom.operators.eligibility import FILTERS
 
 RULE = "<!-- ================================================================ -->\n"
 
@@ -94,7 +95,10 @@ def report_sections(entries: DataFrame, catalog: DataFrame) -> dict[str, DataFra
     def of(status: str, *more: str) -> DataFrame:
         return entries.where(F.col("status") == status).select("rel_path", "kind", "size_bytes", *more)
 
-    rejected = {f"rejected_{f.split('_')[0]}": catalog.where(F.exists("eligibility_reasons", lambda r, f=f: r.startswith(f))).select("rel_path", "kind", "size_bytes", "eligibility_reasons") for f in ("ext_filter", "size_filter", "mtime_filter", "ctime_filter")}
+    def rejected_by(name: str) -> DataFrame:
+        return catalog.where(F.exists("eligibility_reasons", lambda r: r.startswith(name))).select("rel_path", "kind", "size_bytes", "eligibility_reasons")
+
+    rejected = {f"rejected_{f.split('_')[0]}": rejected_by(f) for f in FILTERS}
     return {
         "overview": status_summary(entries),
         "success": of("success", "warnings"),

@@ -26,6 +26,7 @@ def _course(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     ends = np.concatenate([[0], np.cumsum(sizes)])
     # The first block that no longer fits into a volume beginning at i; an oversized block lies alone.
     after = np.maximum(np.searchsorted(ends, ends[:n] + capacity, "right") - 1, np.arange(n) + 1)
+    after = np.where((after < n) & (ends[after] == ends[:n]), after + 1, after)  # nothing but empty blocks so far: it takes an oversized one
     begun, fill = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
     for i in range(n - 1, -1, -1):
         j = after[i]
@@ -85,8 +86,8 @@ def next_fit(blocks: DataFrame, order: list[Column], key: str, size: str, capaci
                 carried += whole
             else:
                 _, begun, fill = breaks[at]
-                empty = carried == 0 and at == 0  # an untouched volume takes even an oversized block
-                volume, carried = volume + begun - empty, fill
+                empty = carried == 0 and (at == 0 or breaks[at - 1][0] == 0)  # an untouched volume takes even an oversized block
+                volume, carried = volume + begun - empty, fill  # ``begun`` counts the volume that the break begins
         cols = list(zip(*entered)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["part", "volume", "carried"])
 

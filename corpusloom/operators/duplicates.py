@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ordering import numbered
+
 
 def content_hash(content: Column, algo: str = "sha256") -> Column:
     if algo == "sha256":
@@ -64,8 +66,7 @@ def duplicate_roles(files: DataFrame, path: str = "rel_path", size: str = "size_
 
 def ranked_groups(groups: DataFrame) -> DataFrame:
     """Groups in report order (most redundant first, then by main path) with their number."""
-    order = Window.orderBy(F.desc("redundant_bytes"), "main_path")
-    return groups.withColumn("group_no", F.row_number().over(order))
+    return numbered(groups, [-F.col("redundant_bytes"), F.col("main_path"), F.col("content_hash")], "group_no")
 
 
 def duplicate_totals(groups: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import files as X
 from corpusloom.operators.eligibility import FILTERS
+from corpusloom.operators.ordering import numbered
 
 RULE = "<!-- ================================================================ -->\n"
 
@@ -41,23 +42,6 @@ def file_block(rel: Column, fid: Column, kind: Column, size: Column, warnings: C
     )
 
 
-def numbered(df: DataFrame, order: list[Column], name: str = "idx") -> DataFrame:
-    """``df`` with 1-based numbers in an order, by ranges: each range counts itself and adds what lies before it.
-
-    No task sees more than its range, unlike a window over everything.
-    """
-    from corpusloom.session import materialize
-
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = {f"_o{i}": c for i, c in enumerate(order)}
-    ranged = materialize(df.withColumns(keys).repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()), "ranged")
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_part", before.alias("_before"))  # one row a range
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
-    return ranged.withColumn("_inside", inside).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_before") + F.col("_inside")).cast("bigint")).drop("_part", "_inside", "_before", *keys)
-
-
 def inventory_tsv(catalog: DataFrame) -> DataFrame:
     """``idx, line``: the machine-readable index of the whole catalog, tabs and line breaks as spaces."""
 

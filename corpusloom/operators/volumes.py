@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.session import materialize
@@ -118,8 +118,10 @@ def volume_stats(plan: DataFrame) -> DataFrame:
 
 def volume_links(stats: DataFrame) -> DataFrame:
     """Volumes with the one before and after, null at the ends."""
-    order = Window.orderBy("volume")
-    return stats.withColumn("previous", F.lag("volume").over(order)).withColumn("next", F.lead("volume").over(order))
+    known = stats.select("volume")
+    back = known.select((F.col("volume") + 1).alias("volume"), F.col("volume").alias("previous"))
+    ahead = known.select((F.col("volume") - 1).alias("volume"), F.col("volume").alias("next"))
+    return stats.join(back, "volume", "left").join(ahead, "volume", "left")
 
 
 def cut_points(raw: bytes, first: int, later: int) -> list[int]:

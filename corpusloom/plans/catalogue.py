@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import files as X
 from corpusloom.operators import duplicates, incremental, render, truncation, volumes
 from corpusloom.operators import eligibility as E
+from corpusloom.operators.ordering import numbered
 from corpusloom.session import table
 
 VIRTUAL_EXTENSIONS = (".txt", ".md", ".log", ".py", ".json", ".csv", ".param", ".bin")
@@ -323,7 +324,7 @@ def ocr_totals(spark, sf_dir):
 
 
 def toc_rows(spark, sf_dir):
-    rows = render.numbered(_entries(spark, sf_dir), [F.lower("rel_path"), F.col("rel_path"), F.col("conv_id")])
+    rows = numbered(_entries(spark, sf_dir), [F.lower("rel_path"), F.col("rel_path"), F.col("conv_id")])
     return rows.select("idx", render.toc_line(F.col("idx"), F.col("rel_path"), F.col("file_id"), F.col("kind"), F.col("status")).alias("line"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import files as X
 from corpusloom.functions.paths import canonical_path
-from corpusloom.operators import duplicates, eligibility, incremental, render, truncation, volumes
+from corpusloom.operators import duplicates, eligibility, incremental, ordering, truncation, volumes
 from corpusloom.sources import converters as C
 
 
@@ -331,6 +331,50 @@ def test_settings():
     assert main(["--no-dedup"]) == 2
 
 
-def test_numbering_and_toc(spark):
+def test_numbering(spark):
     df = spark.createDataFrame([("B",), ("a",), ("c",)], "p string")
-    assert rows(render.numbered(df, [F.lower("p"), F.col("p")]), "idx", "p") == [(1, "a"), (2, "B"), (3, "c")]
+    assert rows(ordering.numbered(df, [F.lower("p"), F.col("p")]), "idx", "p") == [(1, "a"), (2, "B"), (3, "c")]
+
+
+# -- plug-ins --------------------------------------------------------------------------------------------------------------------------
+
+
+def test_ocr_patience_and_converter(spark, tmp_path):
+    from corpusloom.sources.ocr import OcrError, Patience, TokenCache, image_converter
+
+    class Fake:
+        engine = "fake"
+
+        def __init__(self, *answers):
+            self.answers, self.renewed = list(answers), 0
+
+        def recognise(self, image):
+            answer = self.answers.pop(0)
+            if isinstance(answer, Exception):
+                raise answer
+            return answer
+
+        def renew_token(self):
+            self.renewed += 1
+
+    slept = []
+    patience = lambda: Patience(2, 0.5, slept.append, lambda: 0.0)
+    fake = Fake(OcrError("busy", 17), OcrError("token", 110), ["a", "b"])
+    got = image_converter(lambda: fake, patience())(b"x", "i.png", C.Options())
+    assert got.markdown == "```text\na\nb\n```\n" and got.extra["ocr_lines"] == 2 and fake.renewed == 1 and 1.0 in slept
+    assert image_converter(lambda: Fake(OcrError("no", 216)), patience())(b"x", "i", C.Options()).extra["ocr_error_code"] == 216
+    assert image_converter(lambda: Fake(), patience())(b"xx", "i", C.Options(image_bytes=1)).status == "skipped"
+    assert C.convert_bytes("image", b"x", "i", plugins={"image": image_converter(lambda: Fake(OSError(), OSError(), OSError()), patience())}).status == "failed"
+    now = [0.0]
+    cache = TokenCache(str(tmp_path / "t"), "key", lambda: now[0])
+    assert cache.get() is None
+    cache.put("T", 90_000)
+    assert cache.get() == "T"
+    now[0] = 4000.0
+    assert cache.get() is None
+
+
+def test_converted_files_with_a_plugin(spark):
+    df = spark.createDataFrame([(1, "txt", b"x", "a.txt"), (2, "pdf", b"p", "b.pdf"), (3, "txt", None, "c"), (4, None, b"y", None), (5, "txt", b"\xff\xfe\x00", "d")], "id int, kind string, content binary, name string")
+    got = {r.id: r for r in C.convert_files(df, "id", "kind", "content", "name", plugins={"pdf": lambda raw, name, o: C.Result(markdown="page")}).collect()}
+    assert [got[i].status for i in range(1, 6)] == ["success", "success", "failed", "skipped", "success"] and got[2].markdown == "page"

@@ -144,6 +144,21 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p3_found": p3_found, "p3_classes": p3_classes, "p2_restored": p2_restored, "p2_found": p2_found, "p4_repaired": p4_repaired, "p4_found": p4_found, "p10_residue": p10_residue, "p10_found": p10_found, "p10_kept": p10_kept, "p7_pack": p7_pack, "p7_files": p7_files, "p7_fill": p7_fill, "p9_mix": p9_mix, "p9_shares": p9_shares}
+_MARKED = (
+    r"(regexp_matches(regexp_extract(replace(rel_path, '\', '/'), '[^/]*$'), '(?i)^copy of | - (copy|kopie)(\.[a-z0-9]{1,5})?$| 副本(\.[a-z0-9]{1,5})?$| \(\d{1,3}\)(\.[a-z0-9]{1,5})?$|_old(\.[a-z0-9]{1,5})?$|\.bak$|~$')"
+    r" OR regexp_matches(replace(rel_path, '\', '/'), '(^|/)(old|\.trash|tmp|backup)/'))"
+)
+
 SQL: dict[str, str] = {
+    "p1_found": "WITH m AS (SELECT group_id, f.scan_row_id, rel_path, kind, content_hash_algo, coalesce(trust, -1) AS trust, "
+    "CASE WHEN mtime >= TIMESTAMP '1981-01-01' AND mtime <= loaded_at + INTERVAL 1 DAY THEN mtime END AS m, CASE WHEN ctime >= TIMESTAMP '1981-01-01' AND ctime <= loaded_at + INTERVAL 1 DAY THEN ctime END AS c "
+    "FROM (SELECT DISTINCT group_id, unnest(files) AS scan_row_id FROM dup_groups) g JOIN file_catalog f USING (scan_row_id) LEFT JOIN scan_trees t ON t.tree_id = f.tree_id), "
+    "s AS (SELECT group_id, scan_row_id, CAST(m IS NULL AS INT) + CAST(c IS NULL AS INT) + CAST(coalesce(trim(kind), '') = '' AS INT) + CAST(coalesce(trim(content_hash_algo), '') = '' AS INT) AS gaps, "
+    f"coalesce(m, TIMESTAMP '1000-01-01') AS m, trust, {_MARKED} AS marked FROM m) "
+    "SELECT group_id, scan_row_id FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.group_id = a.group_id AND (b.gaps < a.gaps OR b.m > a.m OR b.trust > a.trust OR (a.marked AND NOT b.marked)))",
+    "p3_found": r"WITH t AS (SELECT conv_id, list_filter(regexp_split_to_array(lower(markdown), '[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '') AS w FROM conversions WHERE status = 'success' AND markdown IS NOT NULL), "
+    "g AS (SELECT DISTINCT conv_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2])) AS s FROM t WHERE len(w) >= 40), n AS (SELECT conv_id, count(*) AS k FROM g GROUP BY conv_id), "
+    "p AS (SELECT a.conv_id AS conv_a, b.conv_id AS conv_b, count(*) AS common FROM g a JOIN g b ON a.s = b.s AND a.conv_id < b.conv_id GROUP BY ALL) "
+    "SELECT conv_a, conv_b FROM p JOIN n x ON x.conv_id = conv_a JOIN n y ON y.conv_id = conv_b WHERE common >= 0.6 * (x.k + y.k - common)",
     "p6_found": "SELECT conv_id FROM conversions WHERE strlen(markdown) > (SELECT max_bytes FROM volume_profiles WHERE purpose = 'split')",
 }

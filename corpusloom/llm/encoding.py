@@ -52,6 +52,7 @@ MISTAKES = [
 #: The five bytes that cp1252 leaves undefined; decoders commonly keep them as C1 controls.
 _UNDEFINED = {0x81, 0x8D, 0x8F, 0x90, 0x9D}
 _QUOTED = re.compile(r"([\"“„«»`'‘])([^\"”“«»`'’\n]{1,40})([\"”“«»`'’])")
+_ENTITY = re.compile(r"&#(?:[xX]([0-9a-fA-F]{2,6})|(\d{3,7}));")
 _LOST = "�"
 
 
@@ -73,6 +74,16 @@ def invert(run: str, wrong: str, right: str) -> str | None:
     return None if new == run or any(ch < " " and ch not in "\n\t\r" or "\x7f" <= ch < "\xa0" for ch in new) else new
 
 
+def unescaped(text: str) -> str:
+    """The text with numeric character references beyond ASCII as characters: wrongly decoded text is often escaped afterwards."""
+
+    def char(m: re.Match) -> str:
+        code = int(m[1], 16) if m[1] else int(m[2])
+        return chr(code) if 127 < code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
+
+    return _ENTITY.sub(char, text) if "&#" in text else text
+
+
 def _undone(run: str, mistake: tuple[str, str]) -> list[str]:
     """The run with a mistake undone once, and also twice where UTF-8 was wrongly decoded again and again."""
     once = invert(run, *mistake)
@@ -155,13 +166,13 @@ def segments(score: np.ndarray, least: float, drop: float = 6.0) -> list[tuple[i
     return found
 
 
-def suspect_runs(codes: np.ndarray, scorer: Scorer) -> list[tuple[int, int]]:
-    """Character ranges to test: the stretches of characters beyond ASCII that a maximum-scoring segment touches."""
+def suspect_runs(codes: np.ndarray, scorer: Scorer, least: float, suspect: float) -> list[tuple[int, int]]:
+    """Character ranges to test: the stretches of characters beyond ASCII that a maximum-scoring segment of ``least`` touches."""
     beyond = codes > 126
     score = np.full(len(codes) - 1, -0.5)  # a pair of ASCII characters neither begins nor bridges a run
     at = np.flatnonzero(beyond[:-1] | beyond[1:])
-    score[at] = scorer.improbability(codes[at], codes[at + 1]) - scorer.s.suspect
-    found = segments(score, scorer.s.gain)
+    score[at] = scorer.improbability(codes[at], codes[at + 1]) - suspect
+    found = segments(score, least)
     if not found:
         return []
     edges = np.flatnonzero(np.diff(np.concatenate([[False], beyond, [False]]).astype(np.int8)))
@@ -183,15 +194,19 @@ class Verdict:
 
 def examine(text: str, scorer: Scorer) -> Verdict:
     """Find and undo wrong decoding in a text. Runs that stand only in quotation marks are examples, and no case."""
+    text = unescaped(text)
     if text.isascii() or len(text) < 2:
         return Verdict(text, False, 0, 0, [])
     quoted = [(m.start(), m.end()) for m in _QUOTED.finditer(text)]
     s = scorer.s
     out, mistakes = text, []
+    known: list[tuple[str, str]] = []
     restored = lost = outside = 0
-    for layer in range(3):  # a text can be wrongly decoded several times over
+    for layer in range(4):  # a text can be wrongly decoded several times over
         codes = _codes(out)
-        runs = suspect_runs(codes, scorer)
+        # Once a mistake is known, what is left of it is undone on less evidence; quoted examples stay.
+        sure = known if layer else []
+        runs = suspect_runs(codes, scorer, 0.2 if sure else s.gain, 0.0 if sure else s.suspect)
         parts, at, changed = [], 0, 0
         usual: tuple[str, str] | None = None
         for a, b in runs:
@@ -200,6 +215,8 @@ def examine(text: str, scorer: Scorer) -> Verdict:
             best = _undo(out, a, b, usual, scorer) if usual else None
             if best is None or best[1] > 0.2:
                 best = _undo_any(out, a, b, scorer) or best
+            for mistake in sure if best is None else ():
+                best = best or _undo(out, a, b, mistake, scorer, 0.2, 0.9)
             if best is None:
                 continue
             _, _, wider, new, mistake = best
@@ -207,6 +224,8 @@ def examine(text: str, scorer: Scorer) -> Verdict:
             if layer == 0:
                 outside += not any(x < a and b < y for x, y in quoted)
             usual = mistake
+            if mistake not in known:
+                known.append(mistake)
             parts += [out[at:a], new]
             at, changed = b, changed + 1
             name = f"{mistake[1]} as {mistake[0]}"
@@ -227,17 +246,17 @@ def examine(text: str, scorer: Scorer) -> Verdict:
 _WIDE = {"gb18030", "big5", "shift_jis", "euc_kr"}
 
 
-def _undo(text: str, a: int, b: int, only: tuple[str, str] | None, scorer: Scorer) -> tuple[float, float, int, str, tuple[str, str]] | None:
+def _undo(text: str, a: int, b: int, only: tuple[str, str] | None, scorer: Scorer, gain: float = 0.0, left: float = 0.0) -> tuple[float, float, int, str, tuple[str, str]] | None:
     """(gain, share left, characters taken in after the run, new text, mistake) of the best mistake undone in a run; of ``only`` one where it is given.
 
     An encoding of two bytes may have drawn in the ASCII character after the run, so the run is also tried with it.
     """
     best = None
-    s, before = scorer.s, text[max(0, a - 1) : a]
+    gain, left, before = gain or scorer.s.gain, left or scorer.s.left, text[max(0, a - 1) : a]
     for y in (b, b + 1) if b < len(text) else (b,):
         run, after = text[a:y], text[y : y + 1]
         old = scorer.penalty(before + run + after)
-        if old < s.gain:
+        if old < gain:
             continue
         if only:
             tried = [(only, new) for new in _undone(run, only)]
@@ -246,10 +265,10 @@ def _undo(text: str, a: int, b: int, only: tuple[str, str] | None, scorer: Score
         for mistake, new in tried:
             if y > b and not _WIDE & {*mistake}:
                 continue
-            now = scorer.penalty(before + new + after, min(s.left * old, old - s.gain, old - best[0] if best else old))
+            now = scorer.penalty(before + new + after, min(left * old, old - gain, old - best[0] if best else old))
             if _LOST in new and _LOST not in run:
-                now = min(now, old * s.left)  # the sign of a loss, itself wrongly decoded
-            if old - now >= s.gain and now <= s.left * old and (best is None or old - now > best[0] + 1e-9):
+                now = min(now, old * left)  # the sign of a loss, itself wrongly decoded
+            if old - now >= gain and now <= left * old and (best is None or old - now > best[0] + 1e-9):
                 best = (old - now, now / old, y - b, new, mistake)
     return best
 

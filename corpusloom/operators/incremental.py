@@ -23,7 +23,7 @@ def processed_ledger(journal: DataFrame, runs: DataFrame) -> DataFrame:
     """The versions that are done: ``done`` entries of runs whose output was kept, each once."""
     kept = runs.where(F.col("output_kept")).select("scan_no").distinct()
     return (
-        journal.where(F.lower(F.trim("state")) == "done")
+        journal.where((F.lower(F.trim("state")) == "done") & F.col("tree_id").isNotNull() & F.col("rel_path").isNotNull())
         .join(kept, "scan_no", "left_semi")
         .select("tree_id", canonical_path(F.col("rel_path")).alias("file_path"), F.col("mtime").alias("version"))
         .distinct()
@@ -37,14 +37,15 @@ def current_versions(catalog: DataFrame) -> DataFrame:
     are left out. Extra columns are ignored. Both groupings pre-aggregate before their shuffle, so a tree that holds a third
     of all rows is spread by path.
     """
-    rows = catalog.select(
+    known = catalog.where("tree_id IS NOT NULL AND rel_path IS NOT NULL")  # before the path crosses into Python
+    rows = known.select(
         "tree_id",
         canonical_path(F.col("rel_path")).alias("file_path"),
         F.col("mtime").alias("version"),
         "scan_no",
         "scan_row_id",
         "loaded_at",
-    ).where(F.col("tree_id").isNotNull() & F.col("file_path").isNotNull())
+    )
     versions = rows.groupBy(*KEY, "version").agg(
         F.max("scan_no").alias("scan_no"), F.min("scan_row_id").alias("scan_row_id"), F.min("loaded_at").alias("loaded_at")
     )

@@ -22,6 +22,8 @@ from corpusloom.session import materialize
 
 #: Containers in a window, windows that share a task, and the fill from which a container is closed.
 WINDOW, TOGETHER, FULL = 64, 32, 0.995
+#: Tasks whose leftovers are packed again by one.
+GATHER = 64
 
 
 def best_fit(items: list[tuple[int, int]], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -123,9 +125,16 @@ def pack(df: DataFrame, item: str, size: str, source: str, capacity: int, target
     schema = "container string, item bigint, bytes bigint"
     ready = served.select("window", "item", "rest").repartition(F.floor(F.col("window") / TOGETHER)).sortWithinPartitions("window", "item")
     first = materialize(ready.mapInArrow(_packer(capacity, "m", False), schema), "packed")
-    # What the partitions carried over: of each less than a window.
-    over = first.where("container IS NULL").select(F.lit(0).cast("bigint").alias("window"), "item", "bytes").coalesce(1).sortWithinPartitions("item")
-    packed = first.where("container IS NOT NULL").unionByName(over.mapInArrow(_packer(capacity, "r", True), schema))
+    # What the partitions carried over, of each less than a window, is packed again by ever fewer tasks.
+    packed, over = first.where("container IS NOT NULL"), first.where("container IS NULL")
+    tasks, level = int(spark.conf.get("spark.sql.shuffle.partitions")), 1
+    while tasks > GATHER:
+        tasks //= GATHER
+        again = over.select(F.lit(0).cast("bigint").alias("window"), "item", "bytes").repartition(tasks, "item").sortWithinPartitions("item")
+        again = materialize(again.mapInArrow(_packer(capacity, f"c{level}-", False), schema), "packed")
+        packed, over, level = packed.unionByName(again.where("container IS NOT NULL")), again.where("container IS NULL"), level + 1
+    rest = over.select(F.lit(0).cast("bigint").alias("window"), "item", "bytes").coalesce(1).sortWithinPartitions("item")
+    packed = packed.unionByName(rest.mapInArrow(_packer(capacity, "r", True), schema))
     ends = packed.join(rows.where("whole > 0").select("item", "whole"), "item", "left").withColumn("whole", F.coalesce("whole", F.lit(0)))
     mixed = ends.select(
         "container",

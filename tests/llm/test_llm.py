@@ -209,6 +209,18 @@ def test_packing(spark):
         packing.pack(df, "i", "n", "s", 0)
 
 
+def test_leftovers_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GATHER", 2)
+    monkeypatch.setattr(packing, "WINDOW", 4)
+    df = spark.createDataFrame([(i, 37 + i % 5, "q") for i in range(500)], "i bigint, n bigint, s string")
+    got = packing.pack(df, "i", "n", "s", 100).collect()
+    assert sorted(r.item for r in got) == list(range(500))
+    used = Counter()
+    for r in got:
+        used[r.container] += r.byte_end - r.byte_start
+    assert max(used.values()) <= 100
+
+
 def test_windows_hold_the_proportions(spark):
     n = packing.WINDOW * 20
     df = spark.createDataFrame([(i, 50, "a" if i % 4 else "b") for i in range(n * 2)], "i bigint, n bigint, s string")

@@ -70,6 +70,7 @@ ERRORS = [
     "An unexpected error occurred while rendering this page",
     "The file viewer could not load this document",
     "The page you requested could not be found",
+    "The page you asked for could not be found",
     "Something went wrong",
     "Page introuvable (erreur 404)",
     "Accès refusé",
@@ -84,6 +85,7 @@ ERRORS = [
     "Доступ запрещён",
     "页面不存在",
     "服务器内部错误",
+    "服务器内部错误，请稍后再试",
 ]
 FILLER = [
     "Content goes here",

@@ -8,6 +8,7 @@ file that the workers map into memory, and a whole array of words is walked at o
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 #: Words longer than this many bytes are never put into the lexicon; they are merged when met.
 LONGEST = 24
@@ -105,15 +106,20 @@ class Lexicon:
 
     # -- looking up -------------------------------------------------------------------------------------------------
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        """The number of each word, or -1."""
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The number of each word of a binary or string array, or -1."""
         n = len(words)
         out = np.full(n, -1, np.int64)
         if not n or not len(self.keys):
             return out
-        size = np.fromiter(map(len, words), np.int64, n)
+        _, offsets, data = words.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
+        size = np.diff(offsets)
         live = np.flatnonzero((size > 0) & (size <= LONGEST))
-        grid = np.frombuffer(b"".join(words[i].ljust(LONGEST, b"\0") for i in live.tolist()), np.uint8).reshape(len(live), LONGEST)
+        if not len(live):
+            return out
+        raw = np.frombuffer(data, np.uint8)
+        grid = raw[np.minimum(offsets[live][:, None] + np.arange(LONGEST), len(raw) - 1)]
         size = size[live]
         state, total, at = np.zeros(len(live), np.uint32), np.zeros(len(live), np.int64), np.arange(len(live))
         for step in range(LONGEST):

@@ -4,6 +4,7 @@ from collections import Counter
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -245,7 +246,7 @@ def test_piece_sizes(spark):
 def test_lexicon(words, others):
     lexicon = Lexicon.view(np.frombuffer(Lexicon.build(words).to_bytes(), np.uint8))
     asked = [*words, *others]
-    for w, n in zip(asked, lexicon.numbers(asked)):
+    for w, n in zip(asked, lexicon.numbers(pa.array(asked, pa.binary()))):
         got = None if n < 0 else lexicon.ids[lexicon.offsets[n] : lexicon.offsets[n + 1]].tolist()
         assert got == words.get(w)
 
@@ -262,6 +263,10 @@ def test_chunks_are_independent(text):
 
     pattern = regex.compile(tokens.PATTERN)
     assert [w for c in tokens.chunks(text) for w in pattern.findall(c)] == pattern.findall(text)
+    values, starts, order = tokens.cut(pa.array([text, None, text + "x"], pa.string()))
+    for k, row in enumerate(order):
+        got = values[starts[k] : starts[k + 1]].to_pylist()
+        assert got[0] + "".join(" " + x for x in got[1:]) == [text, "", text + "x"][row]
 
 
 @no_vocabulary

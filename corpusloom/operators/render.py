@@ -61,6 +61,54 @@ def toc_line(idx: Column, rel: Column, fid: Column, kind: Column, status: Column
     return F.when(metadata != "", F.concat(base, F.lit(" — `"), metadata, F.lit("`"))).otherwise(base)
 
 
+def index_line(idx: Column, rel: Column, fid: Column, status: Column, kind: Column) -> Column:
+    """A row of the index of intermediate files."""
+    mark = X.choose(status, {k: v[0] for k, v in X.STATUS_LABELS.items()}, status)
+    name = F.concat(fid, F.lit("__"), X.safe_name(rel))
+    return F.concat(F.lit("| "), idx.cast("string"), F.lit(" | "), F.replace(rel, F.lit("|"), F.lit("\\|")), F.lit(" | "), mark, F.lit(" | "), kind, F.lit(" | ["), name, F.lit(".md](./"), name, F.lit(".md) / ["), name, F.lit(".extra.json](./"), name, F.lit(".extra.json) |"))
+
+
+def duplicate_lines(files: DataFrame) -> DataFrame:
+    """``group_no, role, line``: the machine-readable index of duplicate groups, the main file of each first."""
+    from corpusloom.operators.duplicates import duplicate_groups, ranked_groups
+
+    groups = ranked_groups(duplicate_groups(files)).select("content_hash", "group_no", "main_path")
+    role = F.when(F.col("rel_path") == F.col("main_path"), "MAIN").otherwise("DUP")
+    rows = files.join(groups, "content_hash").withColumn("role", role)
+    line = F.concat_ws("\t", F.col("group_no").cast("string"), "role", "file_id", F.col("size_bytes").cast("string"), "rel_path")
+    return rows.select("group_no", F.when(F.col("role") == "MAIN", 0).otherwise(1).alias("second"), "rel_path", line.alias("line"))
+
+
+def front_matter(entries: DataFrame, catalog: DataFrame, source: str, inventory: bool, duplicates: bool, metadata: Column | None = None) -> DataFrame:
+    """``section, o1, rel_path, block``: what stands before the files in a bundle, line by line, so that it is packed like any
+    block: counts, the inventory, the table of contents, the duplicate index."""
+
+    def rows(df: DataFrame, section: int, order: Column, text: Column) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), order.alias("o1"), F.lit("").alias("rel_path"), F.concat(text, F.lit("\n")).alias("block"))
+
+    def title(section: int, text: str) -> DataFrame:
+        return rows(entries.sparkSession.range(1), section, F.lit(""), F.lit(text))
+
+    def number(c: str) -> Column:
+        return F.lpad(F.col(c).cast("string"), 20, "0")
+
+    counts = F.format_string(
+        f"# 📚 Merged Document Bundle\n\n- 源目录: {source.replace('%', '%%')}\n- 进入提取的文件数: %d\n- 成功: %d  失败: %d  跳过: %d\n- 总字节数（进入提取）: %,d\n\n---\n", *(F.col(c) for c in ("total", "success", "failed", "skipped", "bytes"))
+    )
+    parts = [rows(status_summary(entries), 0, F.lit(""), counts)]
+    if inventory:
+        parts += [title(1, "## 📚 完整文件目录\n\n```tsv\nidx\tfile_id\trel_path\tkind\tsize_bytes\tsize_class\tmtime\tctime\tctime_source\teligible\treasons"), rows(inventory_tsv(catalog), 2, number("idx"), F.col("line")), title(3, "```\n\n---\n")]
+    listed = numbered(entries, [F.lower("rel_path"), F.col("rel_path")])
+    parts += [title(4, "## 📑 目录 (Table of Contents)\n"), rows(listed, 5, number("idx"), toc_line(F.col("idx"), F.col("rel_path"), F.col("file_id"), F.col("kind"), F.col("status"), metadata)), title(6, "\n---\n")]
+    if duplicates:
+        order = F.concat(number("group_no"), F.col("second").cast("string"), F.lower("rel_path"))
+        parts += [title(7, "## 🔁 重复文件报告 (Duplicate Files Report)\n\n```\n# format: <group_idx>\t<role>\t<file_id>\t<size>\t<rel_path>"), rows(duplicate_lines(catalog), 8, order, F.col("line")), title(9, "```\n\n---\n")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def status_summary(entries: DataFrame, size: str = "size_bytes") -> DataFrame:
     """``success, failed, skipped, total, bytes``: one row."""
     return entries.agg(

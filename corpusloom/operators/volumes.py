@@ -163,6 +163,10 @@ def oversize_parts(blocks: DataFrame, key: str, text: str, capacity: int) -> Dat
     return whole.unionByName(blocks.where(n > capacity).select(key, text).mapInArrow(cut, f"`{key}` {kind}, part int, parts int, byte_start bigint, byte_end bigint"))
 
 
+def _volume_name(name: str, volume: int, total: int) -> str:
+    return f"{name}_part_{volume:03d}_of_{total:03d}.md"
+
+
 def write_volumes(plan: DataFrame, blocks: DataFrame, key: str, text: str, order: list[str], out_dir: str, name: str = "merged") -> DataFrame:
     """Write ``<name>_part_iii_of_nnn.md`` files of a plan into a shared folder; returns ``volume, path, bytes``.
 
@@ -181,7 +185,7 @@ def write_volumes(plan: DataFrame, blocks: DataFrame, key: str, text: str, order
 
         def close() -> None:
             if f is not None:
-                f.write(f"\n<!-- {'END OF BUNDLE' if now == total else f'continues in part {now + 1}'} -->\n".encode())
+                f.write(f"\n---\n\n# End of Volume {now} / {total}\n{'# END OF BUNDLE' if now == total else f'- 下一卷: {_volume_name(name, now + 1, total)}'}\n".encode())
                 made.append((now, path, f.tell()))
                 f.close()
                 os.replace(f"{path}.{attempt}", path)
@@ -191,10 +195,11 @@ def write_volumes(plan: DataFrame, blocks: DataFrame, key: str, text: str, order
             for volume, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if volume != now:
                     close()
-                    now, path = volume, f"{out_dir}/{name}_part_{volume:03d}_of_{total:03d}.md"
+                    now, path = volume, f"{out_dir}/{_volume_name(name, volume, total)}"
                     os.makedirs(out_dir, exist_ok=True)
                     f = open(f"{path}.{attempt}", "wb")
-                    f.write(f"<!-- part {volume} of {total}{f', continues part {volume - 1}' if volume > 1 else ''} -->\n".encode())
+                    before = _volume_name(name, volume - 1, total) if volume > 1 else "无(本卷为首卷)"
+                    f.write(f"# Volume {volume} of {total}\n\n- 上一卷: {before}\n\n---\n\n".encode())
                 f.write((block or "").encode())
         close()
         cols = list(zip(*made)) or [[], [], []]

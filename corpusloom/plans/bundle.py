@@ -12,6 +12,7 @@ from corpusloom.config import Settings
 from corpusloom.functions import files as X
 from corpusloom.operators import duplicates, render, truncation, volumes
 from corpusloom.operators import eligibility as E
+from corpusloom.operators.ordering import numbered
 from corpusloom.session import materialize
 from corpusloom.sources.converters import Converter, Options, convert_files
 from corpusloom.sources.filetree import scan, with_content
@@ -77,12 +78,18 @@ def run(spark: SparkSession, s: Settings, plugins: dict[str, Converter] | None =
     blocks = materialize(entries.select("file_key", "rel_path", block.alias("block")), "blocks")
     parts = volumes.oversize_parts(blocks, "file_key", "block", capacity).join(blocks, "file_key")
     text = F.substring(F.encode("block", "UTF-8"), (F.col("byte_start") + 1).cast("int"), (F.col("byte_end") - F.col("byte_start")).cast("int"))
-    parts = parts.select(F.concat_ws("#", "file_key", "part").alias("part_key"), "rel_path", "part", F.decode(text, "UTF-8").alias("block"))
-    parts = materialize(parts, "parts")
+    parts = parts.select(F.concat_ws("#", "file_key", "part").alias("part_key"), F.lit(99).alias("section"), F.lower("rel_path").alias("o1"), "rel_path", "part", F.decode(text, "UTF-8").alias("block"))
+    toc = None
+    if s.metadata and s.metadata_position in ("toc", "both"):
+        c = F.col
+        toc = X.compact_metadata(c("size_bytes"), c("mtime"), c("ctime"), c("ctime_source"), *(c(n) if s.needs_hash else F.lit(None).cast("string") for n in ("content_hash", "content_hash_algo", "content_hash_skipped_reason")), short=s.hash_short_len)
+    front = render.front_matter(entries, files, s.input_dir, s.inventory_in_bundle, s.duplicates, toc)
+    front = front.select(F.concat_ws("#", F.col("section").cast("string"), "o1").alias("part_key"), "section", "o1", "rel_path", F.lit(0).alias("part"), "block")
+    parts = materialize(front.unionByName(parts), "parts")
     sized = parts.withColumn("n", F.octet_length("block"))
-    plan = volumes.next_fit(sized, [F.lower("rel_path"), F.col("rel_path"), F.col("part")], "part_key", "n", capacity)
-    lines = parts.select("part_key", F.lower("rel_path").alias("o1"), "rel_path", "part", "block")
-    written = volumes.write_volumes(plan, lines, "part_key", "block", ["o1", "rel_path", "part"], out)
+    order = ["section", "o1", "rel_path", "part"]
+    plan = volumes.next_fit(sized, [F.col(c) for c in order], "part_key", "n", capacity)
+    written = volumes.write_volumes(plan, parts, "part_key", "block", order, out)
     written.write.mode("overwrite").parquet(f"{out}/volumes")
     catalog_rows = files.withColumn("ctime_source", F.coalesce("ctime_source", F.lit("unavailable")))
     for name, section in render.report_sections(entries, catalog_rows).items():
@@ -94,6 +101,9 @@ def run(spark: SparkSession, s: Settings, plugins: dict[str, Converter] | None =
     done.write.mode("overwrite").parquet(f"{out}/journal/entries")
     if s.keep_intermediate:
         name = F.concat(F.col("file_id"), F.lit("__"), X.safe_name(F.col("rel_path")))
+        listed = numbered(entries, [F.lower("rel_path"), F.col("rel_path")])
+        line = render.index_line(F.col("idx"), F.col("rel_path"), F.col("file_id"), F.col("status"), F.col("kind"))
+        listed.select("idx", line.alias("line")).orderBy("idx").select("line").write.mode("overwrite").text(f"{out}/{s.intermediate_subdir}_index")
         entries.select(name.alias("name"), "status", "markdown", "extra").write.mode("overwrite").json(f"{out}/{s.intermediate_subdir}")
     return {"output": out}
 

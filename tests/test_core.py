@@ -314,6 +314,8 @@ def test_bundle(spark, tmp_path):
     assert len(parts) == 3 and all(os.path.getsize(f"{out}/{p}") <= 1 << 20 for p in parts)
     text = "".join(open(f"{out}/{p}", encoding="utf-8").read() for p in parts)
     assert text.count("===== FILE START:") == 5 and text.count("line of text\n") == 100_000
+    assert text.index("进入提取的文件数: 5") < text.index("idx\tfile_id") < text.index("1. [_under.txt]") < text.index("1\tMAIN") < text.index("===== FILE START")
+    assert text.count("# END OF BUNDLE") == 1
     again = bundle.resume(spark, s, out + "/journal")
     assert spark.read.parquet(again["output"] + "/journal/entries").count() == 5
 

@@ -31,6 +31,7 @@ class Settings:
     known: int = 5  # least count of a word that a repair may lead to
     better: float = 25.0  # how many times better known it must be than what stands there
     longest: int = 90  # a longer line is no furniture
+    longest_word: int = 40  # a longer run of letters is no word
 
 
 # What scanning takes for what, as (read, meant).
@@ -50,7 +51,7 @@ HYPHENS = "-¬\u00ad\u2010\u2011"
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _ROMAN = re.compile(r"[ivxl]+$")
 _NUMBER = re.compile(r"\d[\d.,]*$")
-_BROKEN = re.compile(rf"([^\W\d_]+(?:[0-9@|$!][^\W\d_]*)*)([{HYPHENS}])[ \t]*\n[ \t]*(([^\W_]|[@|$!])+)")
+_BROKEN = re.compile(rf"(?<![^\W_])([^\W\d_]+(?:[0-9@|$!][^\W\d_]*)*)([{HYPHENS}])[ \t]*\n[ \t]*(([^\W_]|[@|$!])+)")
 _WORD = re.compile(r"[^\W_](?:[^\W_]|[@|$!€¢](?=[^\W_]))*[@|$]?|[@|$][^\W\d_]+")
 _GAP = re.compile(r"[ \t]{3,}")
 _PAGE_NUMBER = re.compile(r"(?:[^\W\d_]{1,6}\.? ?)?[-~\[(–]? ?\d{1,4} ?[-~\])–]?(?: (?:of|von|de|sur|/) ?\d{1,4})?$")
@@ -61,7 +62,7 @@ def shape(line: str) -> str:
     """A line's shape: its words by class, its digits as one sign, its punctuation as it is."""
     out = []
     for w in _TOKEN.findall(line):
-        if w[0] in "0123456789" and (_NUMBER.match(w) or sum(c.isdigit() for c in w) * 2 > len(w)):
+        if _NUMBER.match(w):
             out.append("#")
         elif _ROMAN.match(w):
             out.append("r")
@@ -165,22 +166,24 @@ class Reader:
         letters = sum(c.isalpha() for c in low)
         clean = letters == len(low)
         here = self.count(low) if clean else 0
-        if len(low) >= 3 and letters * 2 > len(low) and not (clean and here >= 400 * self.s.known):
+        if 3 <= len(low) <= self.s.longest_word and letters * 2 > len(low) and not (clean and here >= 400 * self.s.known):
             floor = max(self.s.known, self.s.better * here)
             near = self._apart(low)
             if not clean:  # all its signs at once
                 near += [low.translate(_SIGNS), low.replace("1", "i").translate(_SIGNS)]
-            for other in near:
-                n = self.count(other)
-                if n >= floor and (best is None or n > best[0]):
-                    best = (n, other)
+            best = self._best(near, floor)
             if best is None and not (clean and here >= self.s.known):
-                for first in near:
-                    for other in self._apart(first):
-                        if other != low and (n := self.count(other)) >= 4 * floor and (best is None or n > best[0]):
-                            best = (n, other)
-        self.fixes[low] = best[1] if best else None
-        return self.fixes[low]
+                best = self._best([other for first in near for other in self._apart(first) if other != low], 4 * floor)
+        self.fixes[low] = best
+        return best
+
+    def _best(self, words: list[str], least: float) -> str | None:
+        """The best known of some words, if it is known well enough; the first of equals."""
+        if not words:
+            return None
+        counts = lookup(self.words, np.fromiter(map(_hash, words), np.uint64, len(words)))
+        at = int(counts.argmax())
+        return words[at] if counts[at] >= least else None
 
     @staticmethod
     def _apart(word: str) -> list[str]:

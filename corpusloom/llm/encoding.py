@@ -52,6 +52,11 @@ MISTAKES = [
 #: The five bytes that cp1252 leaves undefined; decoders commonly keep them as C1 controls.
 _UNDEFINED = {0x81, 0x8D, 0x8F, 0x90, 0x9D}
 _QUOTED = re.compile(r"([\"“„«»`'‘])([^\"”“«»`'’\n]{1,40})([\"”“«»`'’])")
+_CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
+#: The mistakes by what was decoded as, so that a run is encoded once for all of them; with their place in the order.
+_BY_WRONG: dict[str, list[tuple[int, str]]] = {}
+for _i, (_w, _r) in enumerate(MISTAKES):
+    _BY_WRONG.setdefault(_w, []).append((_i, _r))
 _ENTITY = re.compile(r"&#(?:[xX]([0-9a-fA-F]{2,6})|(\d{3,7}));")
 _LOST = "�"
 
@@ -65,13 +70,21 @@ def _encode(run: str, codec: str) -> bytes:
     return run.encode(codec)
 
 
+def _decode(raw: bytes, right: str, run: str) -> str | None:
+    try:
+        new = raw.decode(right)
+    except UnicodeError:
+        return None
+    return None if new == run or _CONTROL.search(new) else new
+
+
 def invert(run: str, wrong: str, right: str) -> str | None:
     """The run with one mistake undone, or None where its bytes don't allow it."""
     try:
-        new = _encode(run, wrong).decode(right)
-    except (UnicodeError, LookupError):
+        raw = _encode(run, wrong)
+    except UnicodeError:
         return None
-    return None if new == run or any(ch < " " and ch not in "\n\t\r" or "\x7f" <= ch < "\xa0" for ch in new) else new
+    return _decode(raw, right, run)
 
 
 def unescaped(text: str) -> str:
@@ -84,13 +97,24 @@ def unescaped(text: str) -> str:
     return _ENTITY.sub(char, text) if "&#" in text else text
 
 
-def _undone(run: str, mistake: tuple[str, str]) -> list[str]:
-    """The run with a mistake undone once, and also twice where UTF-8 was wrongly decoded again and again."""
-    once = invert(run, *mistake)
+def _again(once: str | None, mistake: tuple[str, str]) -> list[str]:
+    """What a mistake undone once gave, and also undone twice where UTF-8 was wrongly decoded again and again."""
     twice = invert(once, *mistake) if once is not None and mistake[1] == "utf-8" and not once.isascii() else None
     return [x for x in (once, twice) if x is not None]
 
 
+def all_undone(run: str) -> list[tuple[tuple[str, str], str]]:
+    """Every mistake that the run's bytes allow to undo, with the result, the likeliest first."""
+    found = []
+    for wrong, rights in _BY_WRONG.items():
+        try:
+            raw = _encode(run, wrong)
+        except UnicodeError:
+            continue
+        found += [(i, (wrong, right), new) for i, right in rights for new in _again(_decode(raw, right, run), (wrong, right))]
+    return [(mistake, new) for _, mistake, new in sorted(found, key=lambda x: x[0])]
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
@@ -136,7 +160,7 @@ class Scorer:
     def inversions(self, run: str) -> list[tuple[tuple[str, str], str]]:
         """Every mistake that the run's bytes allow to undo, with the result."""
         if (got := self.inverted.get(run)) is None:
-            got = [(m, new) for m in MISTAKES for new in _undone(run, m)]
+            got = all_undone(run)
             if len(run) <= 8:
                 if len(self.inverted) >= _MEMORY:
                     self.inverted.clear()
@@ -259,7 +283,7 @@ def _undo(text: str, a: int, b: int, only: tuple[str, str] | None, scorer: Score
         if old < gain:
             continue
         if only:
-            tried = [(only, new) for new in _undone(run, only)]
+            tried = [(only, new) for new in _again(invert(run, *only), only)]
         else:
             tried = scorer.inversions(run)
         for mistake, new in tried:

@@ -43,11 +43,11 @@ _DRAWS = 1 << 14
 
 @lru_cache(maxsize=1)
 def _draws() -> tuple[np.ndarray, ...]:
-    """r, 1/r, beta and ln c - r of Ioffe's sampling (r and c gamma-distributed, beta uniform)."""
+    """r, beta and ln c - r of Ioffe's sampling (r and c gamma-distributed, beta uniform)."""
     rng = np.random.default_rng(20240229)
     r = rng.gamma(2.0, 1.0, _DRAWS).astype(np.float32)
     c = np.log(rng.gamma(2.0, 1.0, _DRAWS)).astype(np.float32)
-    return r, (1 / r).astype(np.float32), rng.random(_DRAWS).astype(np.float32), (c - r).astype(np.float32)
+    return r, rng.random(_DRAWS).astype(np.float32), (c - r).astype(np.float32)
 
 
 class _Words(dict):
@@ -90,7 +90,7 @@ def weights(hashes: np.ndarray, counts: np.ndarray, total: int) -> tuple[np.ndar
 
 def samples(distinct: np.ndarray, weight: np.ndarray, n: int, step: int = 2048) -> np.ndarray:
     """``n`` consistent weighted samples: of each, a hash of the drawn shingle and its level."""
-    r_of, inverse, beta_of, shift = _draws()
+    r_of, beta_of, shift = _draws()
     logw = np.log(weight)[None, :]
     salts = ((np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1))[:, None]
     best = np.full(n, np.inf, np.float32)
@@ -100,13 +100,14 @@ def samples(distinct: np.ndarray, weight: np.ndarray, n: int, step: int = 2048)
         for at in range(0, len(distinct), step):  # in steps, so that a very long text needs no more memory than a short one
             h = distinct[at : at + step]
             draw = ((salts * h[None, :]) >> np.uint64(50)).view(np.int64)
-            beta, level = beta_of.take(draw), inverse.take(draw)
-            level *= logw[:, at : at + step]
+            r, beta = r_of.take(draw), beta_of.take(draw)
+            level = logw[:, at : at + step] / r
             level += beta
             np.floor(level, out=level)
-            a = level - beta
-            a *= r_of.take(draw)
-            np.subtract(shift.take(draw), a, out=a)
+            beta -= level
+            beta *= r
+            a = shift.take(draw)
+            a += beta
             first = a.argmin(axis=1)
             least = a[rows, first]
             better = least < best

@@ -33,6 +33,7 @@ class Settings:
     bands: int = 32
     weighted: float = 0.2  # least weighted Jaccard similarity of a verified pair; below what ``similarity`` allows in practice
     idf_bits: int = 20  # cells of the shingle counts
+    idf_power: float = 0.5  # damps the idf, so that the weighted similarity stays near the plain one and bands miss fewer pairs
     block: int = 512  # texts of a band that are compared in one block
     copies: int = 16  # a class of up to so many copies is written out as pairs; a larger one as pairs with its representative
 
@@ -81,11 +82,11 @@ def shingles(h: np.ndarray, k: int, least: int = 0) -> np.ndarray:
     return mix(out)
 
 
-def weights(hashes: np.ndarray, counts: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+def weights(hashes: np.ndarray, counts: np.ndarray, total: int, power: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles and their tf x idf."""
     distinct, tf = np.unique(hashes, return_counts=True)
     idf = np.log1p(total / np.maximum(lookup(counts, distinct), 1))
-    return distinct, (tf * idf).astype(np.float32)
+    return distinct, (tf * idf**power).astype(np.float32)
 
 
 def samples(distinct: np.ndarray, weight: np.ndarray, n: int, step: int = 2048) -> np.ndarray:
@@ -154,7 +155,7 @@ def signatures(texts: DataFrame, s: Settings) -> tuple[DataFrame, object, int]:
                 whole.append(xxhash.xxh3_128_digest(words.tobytes()))
                 long.append(len(words) >= s.least_words)
                 if len(found := shingles(words, s.words, s.least_words)):
-                    distinct, weight = weights(found, counts, total)
+                    distinct, weight = weights(found, counts, total, s.idf_power)
                     bands.append(_band_keys(samples(distinct, weight, s.rows * s.bands), s.rows, s.bands))
                 else:
                     bands.append(None)
@@ -196,7 +197,7 @@ def similar_classes(texts: DataFrame, signs: DataFrame, member: DataFrame, sent:
         for batch in batches:
             ids, hs, ws = [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                distinct, weight = weights(shingles(word_hashes(t), s.words, s.least_words), counts, total)
+                distinct, weight = weights(shingles(word_hashes(t), s.words, s.least_words), counts, total, s.idf_power)
                 ids.append(i)
                 hs.append(distinct.tobytes())
                 ws.append(weight.tobytes())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import materialize, table
+from corpusloom.session import materialize, spread, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.tokens import encode_corpus
 
-    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return encode_corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text")
 
 
 def _p3(spark: SparkSession, sf_dir: str):
@@ -48,6 +48,7 @@ def _p3(spark: SparkSession, sf_dir: str):
 
     setting = N.Settings(words=3, similarity=0.6, least_words=40)
     rows = table(spark, sf_dir, "conversions").where("status = 'success'").select("conv_id", "markdown")
+    rows = spread(rows, "conv_id")
     pairs, member = N.near_duplicates(rows, "conv_id", "markdown", setting)
     return pairs, member, setting
 
@@ -70,7 +71,7 @@ def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.encoding import repair
 
-    return repair(table(spark, sf_dir, "conversions"), "conv_id", "markdown")
+    return repair(spread(table(spark, sf_dir, "conversions").select("conv_id", "markdown"), "conv_id"), "conv_id", "markdown")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +83,8 @@ def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ocr, conversions = table(spark, sf_dir, "ocr_results"), table(spark, sf_dir, "conversions")
     records = materialize(scanned_records(ocr, conversions, table(spark, sf_dir, "file_catalog")), "scans")
-    return repair_scans(records, conversions.select("markdown").unionAll(ocr.select("text")))
+    vocabulary = spread(conversions.select("conv_id", "markdown"), "conv_id").select("markdown").unionAll(ocr.select("text"))
+    return repair_scans(spread(records, "rec_id"), vocabulary)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +95,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.residue import residue
 
-    return residue(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return residue(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +132,7 @@ def _p9(spark: SparkSession, sf_dir: str):
     from corpusloom.llm.mixing import mix
     from corpusloom.llm.tokens import encode_corpus
 
-    documents = table(spark, sf_dir, "documents").withColumn("h", F.md5("text"))
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id").withColumn("h", F.md5("text"))
     counted = materialize(encode_corpus(documents, "doc_id", "text", count_only=True, keep=("source", "h")), "counted")
     return mix(counted, table(spark, sf_dir, "mix_targets"))
 

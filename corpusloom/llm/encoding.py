@@ -310,13 +310,13 @@ def _undo_any(text: str, a: int, b: int, scorer: Scorer):
 
 
 def corpus_scores(df: DataFrame, text: str, s: Settings) -> Scorer:
-    """Count, over all texts, in how many each pair and each character stands."""
+    """Count, over all texts as ``examine`` sees them (``unescaped``), in how many each pair and each character stands."""
 
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         held, n = [], 0
         for t in batch.column(0).to_pylist():
             if t:
-                codes = _codes(t)
+                codes = _codes(unescaped(t))
                 # A character c is counted as the pair (0, c), so that one table holds both.
                 held += [np.unique(_pairs(codes)), np.unique(codes)]
                 n += len(held[-1]) + len(held[-2])
@@ -334,8 +334,8 @@ def corpus_scores(df: DataFrame, text: str, s: Settings) -> Scorer:
 def repair(df: DataFrame, key: str, text: str, s: Settings = Settings()) -> DataFrame:
     """``key, restored_text, found, restored, lost, mistakes`` of every row with wrongly decoded text (``found``).
 
-    ``restored`` runs were undone, ``lost`` ones can't be; ``mistakes`` names what was undone, as "right as wrong". Null, empty
-    and pure ASCII texts hold no trace and give no row.
+    ``restored`` runs were undone, ``lost`` ones can't be; ``mistakes`` names what was undone, as "right as wrong". Null and
+    empty texts and ASCII texts without character references hold no trace and give no row.
     """
     scorer = corpus_scores(df, text, s)
     sent = df.sparkSession.sparkContext.broadcast((scorer.counts, scorer.total))  # 2 * 2**pair_bits cells, whatever the data
@@ -345,7 +345,7 @@ def repair(df: DataFrame, key: str, text: str, s: Settings = Settings()) -> Data
         for batch in batches:
             rows = []
             for k, t in zip(batch.column(0), batch.column(1)):
-                if (t := t.as_py()) and not t.isascii() and (v := examine(t, mine)).found:
+                if (t := t.as_py()) and (not t.isascii() or "&#" in t) and (v := examine(t, mine)).found:
                     rows.append((k.as_py(), v.text, v.restored, v.lost, v.mistakes))
             cols = list(zip(*rows)) or [[]] * 5
             types = (batch.schema.field(0).type, pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()))

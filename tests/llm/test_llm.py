@@ -100,6 +100,17 @@ def test_wrong_encodings(spark):
     assert encoding.repair(df.where("false"), "id", "t").count() == 0
 
 
+def test_wrong_encodings_escaped_into_ascii(spark):
+    garbled = [t.encode().decode("cp1252") for t in GERMAN]
+    escaped = [(1000 + i, "".join(c if c.isascii() else f"&#{ord(c)};" for c in t)) for i, t in enumerate(garbled)]
+    escaped.append((1010, "".join(c if c.isascii() else f"&#x{ord(c):X};" for c in garbled[0])))
+    fine = [(2000, "".join(c if c.isascii() else f"&#{ord(c)};" for c in GERMAN[0])), (2001, "a &#38; b"), (2002, "&#; &#x; &# 7"), (2003, "x &#9999999; y")]
+    df = spark.createDataFrame([(i, GERMAN[i % 3] + f" Nummer {i}.") for i in range(300)] + escaped + fine, "id bigint, t string")
+    assert all(t.isascii() for _, t in escaped)
+    got = {r.id: r.restored_text for r in encoding.repair(df, "id", "t").collect()}
+    assert got == {1000: GERMAN[0], 1001: GERMAN[1], 1002: GERMAN[2], 1010: GERMAN[0]}
+
+
 # -- 3: near duplicates ----------------------------------------------------------------------------------------------------------------------
 
 

@@ -1,10 +1,10 @@
-"""Near-duplicate texts by improved consistent weighted sampling over TF-IDF shingles.
+"""Near-duplicate texts by improved consistent weighted sampling over IDF-weighted shingles.
 
 Exact copies (equal word sequences) form one class and only its representative is compared. A representative's shingles
-(runs of consecutive words) weigh tf x idf, the idf from counts over all texts. ``samples`` consistent weighted
+(runs of consecutive words) weigh their idf, from counts over all texts, however often the text repeats them. ``samples`` consistent weighted
 samples (Ioffe, 2010) make two texts agree in a sample with the probability of their weighted Jaccard similarity; they
-are banded, texts that share a band are candidates, and every candidate pair is verified by its weighted Jaccard
-similarity and then by the exact share of common shingles. A crowded band is compared in blocks, spread over tasks, so
+are banded, texts that share a band are candidates, and every candidate pair is verified by the exact share of common
+shingles alone. A crowded band is compared in blocks, spread over tasks, so
 nothing is capped and no task holds a whole band.
 """
 
@@ -31,7 +31,6 @@ class Settings:
     least_words: int = 0  # shorter texts have no partner
     rows: int = 4  # samples in a band
     bands: int = 32
-    weighted: float = 0.2  # least weighted Jaccard similarity of a verified pair; below what ``similarity`` allows in practice
     idf_bits: int = 20  # cells of the shingle counts
     block: int = 512  # texts of a band that are compared in one block
     copies: int = 16  # a class of up to so many copies is written out as pairs; a larger one as pairs with its representative
@@ -82,10 +81,10 @@ def shingles(h: np.ndarray, k: int, least: int = 0) -> np.ndarray:
 
 
 def weights(hashes: np.ndarray, counts: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles and their tf x idf."""
-    distinct, tf = np.unique(hashes, return_counts=True)
+    """The distinct shingles and their idf; tf is 1 throughout, as the share asked for is one of sets."""
+    distinct = np.unique(hashes)
     idf = np.log1p(total / np.maximum(lookup(counts, distinct), 1))
-    return distinct, (tf * idf).astype(np.float32)
+    return distinct, idf.astype(np.float32)
 
 
 def samples(distinct: np.ndarray, weight: np.ndarray, n: int, step: int = 2048) -> np.ndarray:
@@ -216,7 +215,7 @@ def similar_classes(texts: DataFrame, signs: DataFrame, member: DataFrame, sent:
                 inter = float(np.minimum(p[i], q[j]).sum())
                 union = float(p.sum()) + float(q.sum()) - inter
                 weighted = inter / union if union else 0.0
-                if weighted >= s.weighted and len(both) >= s.similarity * (len(x) + len(y) - len(both)) - 1e-9:
+                if len(both) >= s.similarity * (len(x) + len(y) - len(both)) - 1e-9:
                     out.append((a, b, weighted, len(both) / (len(x) + len(y) - len(both))))
             cols = list(zip(*out)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["a", "b", "weighted", "shared"])

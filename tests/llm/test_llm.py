@@ -146,6 +146,16 @@ def test_near_duplicates_equal_brute_force(spark):
     assert none.count() == empty.count() == 0
 
 
+def test_near_duplicates_that_repeat_their_blocks_differently(spark):
+    rng = random.Random(7)
+    blocks = [" ".join(rng.choices([f"b{i}" for i in range(400)], k=50)) for _ in range(8)]
+    texts = [t for b in blocks for t in (" ".join([b] * 3), " ".join([b] * 40) + " end")]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    s = neardup.Settings(words=3, similarity=0.6, least_words=40)
+    pairs, member = neardup.near_duplicates(df, "id", "text", s)
+    assert set(rows(neardup.written_out(pairs, member, s))) == {(2 * i, 2 * i + 1) for i in range(8)}
+
+
 def test_samples_agree_as_the_weighted_jaccard():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 300, dtype=np.uint64)

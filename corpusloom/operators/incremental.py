@@ -2,7 +2,7 @@
 
 A record is a file (``tree_id`` and canonical ``rel_path``), its version is ``mtime``; null is a version of its own.
 The next run rereads the catalog from the oldest transaction still open at the last run (a saved low watermark on
-``loaded_at``) and anti-joins (key, version) pairs against the ledger of processed versions, so that the overlap of two
+``loaded_at``, from the oldest run open or not kept) and anti-joins (key, version) pairs against the ledger of processed versions, so that the overlap of two
 reads is removed and neither a failure nor a late row skips or repeats a version.
 """
 
@@ -57,12 +57,12 @@ def pending_versions(catalog: DataFrame, journal: DataFrame, runs: DataFrame, re
     """The file versions that the next run has to process, each once: ``tree_id, file_path, version, scan_row_id, scan_no, loaded_at``.
 
     ``reread_from`` is the low watermark saved by the last run; None (no run yet, or no saved state) reads the whole catalog.
-    With a watermark only the files touched since it are read, but each with its whole history, so that a late row of an old
+    With a watermark only the files touched since it (or at an unknown time) are read, but each with its whole history, so that a late row of an old
     scan can't pass for the current version. Empty tables give no rows; null states, times and flags never count as done.
     """
     if reread_from is not None:
         keyed = catalog.withColumn("file_path", canonical_path(F.col("rel_path")))
-        touched = keyed.where(F.col("loaded_at") >= F.lit(reread_from)).select(*KEY).distinct()
+        touched = keyed.where((F.col("loaded_at") >= F.lit(reread_from)) | F.col("loaded_at").isNull()).select(*KEY).distinct()
         catalog = keyed.join(touched, KEY, "left_semi").drop("file_path")
     now, done = current_versions(catalog).alias("now"), processed_ledger(journal, runs).alias("done")
     same = [F.col(f"now.{k}") == F.col(f"done.{k}") for k in KEY] + [F.col("now.version").eqNullSafe(F.col("done.version"))]
@@ -70,26 +70,44 @@ def pending_versions(catalog: DataFrame, journal: DataFrame, runs: DataFrame, re
 
 
 class Watermark:
-    """The saved low watermark: the load time of the oldest version still open when a run committed."""
+    """The saved low watermark: the oldest time from which a row may still matter after a run committed."""
 
     def __init__(self, path: str):
         self.path = path
 
-    def read(self) -> datetime | None:
+    def read(self, runs: DataFrame | None = None) -> datetime | None:
+        """The time to reread from; None (everything) also where a run of ``runs`` whose output had been kept at the commit is no
+        longer so, as the versions it had done may be of any age."""
         try:
             with open(self.path) as f:
-                at = json.load(f)["reread_from"]
+                saved = json.load(f)
         except FileNotFoundError:
             return None
+        if runs is not None and (kept := set(saved.get("kept", []))) and not kept <= _kept(runs):
+            return None
+        at = saved["reread_from"]
         return datetime.fromisoformat(at) if at else None
 
-    def commit(self, catalog: DataFrame, still_open: DataFrame) -> datetime | None:
-        """Save after a run: the oldest open version's load time, else the newest load time. Written aside and renamed, so a
-        failure leaves the old state and the next run rereads rather than skips."""
+    def commit(self, catalog: DataFrame, still_open: DataFrame, runs: DataFrame | None = None) -> datetime | None:
+        """Save after a run: the oldest open version's load time, else the newest load time; but no later than the start of any
+        run that has not ended or whose output was not kept, which may yet show rows loaded since then (all is reread where that
+        start is unknown). Without ``runs`` no scan may be open. Written aside and renamed, so a failure leaves the old state and
+        the next run rereads rather than skips."""
         import os
 
         at = still_open.agg(F.min("loaded_at")).first()[0] or catalog.agg(F.max("loaded_at")).first()[0]
+        kept: set[int] = set()
+        if runs is not None:
+            kept = _kept(runs)
+            unsettled = runs.where(F.col("ended_at").isNull() | ~F.coalesce("output_kept", F.lit(False)))
+            start, n, known = unsettled.agg(F.min("started_at"), F.count("*"), F.count("started_at")).first()
+            at = None if n > known or at is None else min(at, start) if n else at
         with open(self.path + ".new", "w") as f:
-            json.dump({"reread_from": at.isoformat() if at else None}, f)
+            json.dump({"reread_from": at.isoformat() if at else None, "kept": sorted(kept)}, f)
         os.replace(self.path + ".new", self.path)
         return at
+
+
+def _kept(runs: DataFrame) -> set[int]:
+    """The runs whose output is kept; the table has one row per run."""
+    return {r.scan_no for r in runs.where("output_kept AND scan_no IS NOT NULL").select("scan_no").distinct().collect()}

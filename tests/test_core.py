@@ -185,6 +185,25 @@ def test_pending_versions(spark, tmp_path):
     assert incremental.pending_versions(empty, journal.where("false"), runs).count() == 0
 
 
+def test_watermark_of_open_and_discarded_runs(spark, tmp_path):
+    t = lambda d: datetime(2024, 1, d)
+    kinds = "scan_row_id bigint, scan_no int, tree_id int, rel_path string, mtime timestamp_ntz, loaded_at timestamp_ntz"
+    seen = [(1, 1, 1, "a", t(1), t(2)), (2, 2, 1, "b", t(1), t(9))]
+    catalog = spark.createDataFrame(seen, kinds)
+    late = spark.createDataFrame([*seen, (3, 2, 1, "c", t(1), t(6)), (4, 2, 1, "d", t(1), None)], kinds)
+    journal = spark.createDataFrame([(1, 1, "a", t(1), "done"), (1, 1, "b", t(1), "done")], "scan_no int, tree_id int, rel_path string, mtime timestamp_ntz, state string")
+    kinds = "scan_no int, started_at timestamp_ntz, ended_at timestamp_ntz, output_kept boolean"
+    runs = spark.createDataFrame([(1, t(1), t(3), True), (2, t(5), None, True)], kinds)
+    mark = incremental.Watermark(str(tmp_path / "w"))
+    assert mark.commit(catalog, incremental.pending_versions(catalog, journal, runs), runs) == t(5) == mark.read(runs)
+    assert rows(incremental.pending_versions(late, journal, runs, mark.read(runs)), "scan_row_id") == [(3,), (4,)]
+    discarded = spark.createDataFrame([(1, t(1), t(3), False), (2, t(5), t(9), True)], kinds)
+    assert rows(incremental.pending_versions(late, journal, discarded, mark.read(discarded)), "scan_row_id") == [(1,), (2,), (3,), (4,)]
+    assert mark.commit(catalog, catalog.where("false"), discarded) == t(1)
+    unknown = spark.createDataFrame([(1, None, None, None)], kinds)
+    assert mark.commit(catalog, catalog.where("false"), unknown) is None and mark.read(unknown) is None
+
+
 def test_stream_processes_each_version_once(spark, tmp_path):
     from corpusloom.streaming.resume import process_versions
 

@@ -48,24 +48,22 @@ def _p3(spark: SparkSession, sf_dir: str):
 
     setting = N.Settings(words=3, similarity=0.6, least_words=40)
     rows = table(spark, sf_dir, "conversions").where("status = 'success'").select("conv_id", "markdown")
-    rows = spread(rows, "conv_id")
-    pairs, member = N.near_duplicates(rows, "conv_id", "markdown", setting)
-    return pairs, member, setting
+    return *N.near_duplicates(spread(rows, "conv_id"), "conv_id", "markdown", setting), setting
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of different texts, by the smallest ids that hold them, and every copy with the smallest id that holds its text."""
     from corpusloom.llm import neardup as N
 
-    pairs, member, setting = _p3(spark, sf_dir)
-    found = N.written_out(pairs, member, setting)
-    return found.select(F.col("a").alias("conv_a"), F.col("b").alias("conv_b"))
+    return N.written_out(*_p3(spark, sf_dir)).toDF("conv_a", "conv_b")
 
 
 def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per text: its class and the number of links of the class to other classes."""
-    pairs, member, _ = _p3(spark, sf_dir)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    return member.join(ends, "rep", "left").select(F.col("id").alias("conv_id"), F.col("rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    from corpusloom.llm import neardup as N
+
+    pairs, balls, member, _ = _p3(spark, sf_dir)
+    return N.links(pairs, balls, member).toDF("conv_id", "class_id", "copies", "links")
 
 
 def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:

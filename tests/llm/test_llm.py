@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusloom.llm import encoding, mixing, neardup, packing, residue, scans, splitting, survivors, tokens
+from corpusloom.llm import encoding, mixing, packing, residue, scans, splitting, survivors, tokens
 from corpusloom.llm.lexicon import Lexicon
 from corpusloom.llm.prefix import running_sums
 from corpusloom.llm.sketch import hashed_counts, lookup
@@ -111,63 +111,6 @@ def test_wrong_encodings_escaped_into_ascii(spark):
     assert got == {1000: GERMAN[0], 1001: GERMAN[1], 1002: GERMAN[2], 1010: GERMAN[0]}
 
 
-# -- 3: near duplicates ----------------------------------------------------------------------------------------------------------------------
-
-
-def near_texts():
-    rng = random.Random(5)
-    words = [f"w{i}" for i in range(400)]
-    texts = [" ".join(rng.choices(words, k=80)) for _ in range(60)]
-    for i in range(20):
-        w = texts[i].split()
-        for _ in range(rng.randint(1, 6)):
-            w[rng.randrange(80)] = "edit"
-        texts.append(" ".join(w))
-    return texts + [texts[0], texts[0].upper() + " ", texts[1]]
-
-
-def jaccard(a, b, k):
-    x, y = (set(zip(*(t.lower().split()[i:] for i in range(k)))) for t in (a, b))
-    return len(x & y) / len(x | y) if x | y else 0.0
-
-
-def test_near_duplicates_equal_brute_force(spark):
-    texts = near_texts()
-    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)] + [(900, None, 0), (901, "", 0), (902, "few words", 0), (903, "few words", 0)], "id bigint, text string, rep int")
-    s = neardup.Settings(words=3, similarity=0.6, least_words=40, block=2)
-    pairs, member = neardup.near_duplicates(df, "id", "text", s)
-    found = set(rows(neardup.written_out(pairs, member, s)))
-    brute = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if jaccard(texts[i], texts[j], 3) >= 0.6}
-    assert found == brute and (0, 80) in found
-    assert {r.rep for r in member.where("id IN (0, 80, 81)").collect()} == {0}
-    star = neardup.written_out(pairs, member, neardup.Settings(words=3, similarity=0.6, least_words=40, copies=2))
-    assert {(0, 80), (0, 81), (1, 82)} <= set(rows(star)) and (80, 81) not in set(rows(star))
-    none, empty = neardup.near_duplicates(df.where("false"), "id", "text", s)
-    assert none.count() == empty.count() == 0
-
-
-def test_near_duplicates_that_repeat_their_blocks_differently(spark):
-    rng = random.Random(7)
-    blocks = [" ".join(rng.choices([f"b{i}" for i in range(400)], k=50)) for _ in range(8)]
-    texts = [t for b in blocks for t in (" ".join([b] * 3), " ".join([b] * 40) + " end")]
-    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
-    s = neardup.Settings(words=3, similarity=0.6, least_words=40)
-    pairs, member = neardup.near_duplicates(df, "id", "text", s)
-    assert set(rows(neardup.written_out(pairs, member, s))) == {(2 * i, 2 * i + 1) for i in range(8)}
-
-
-def test_samples_agree_as_the_weighted_jaccard():
-    rng = np.random.default_rng(1)
-    h = rng.integers(0, 2**63, 300, dtype=np.uint64)
-    w = rng.uniform(0.5, 9, 300).astype(np.float32)
-    x, y = slice(0, 220), slice(60, 300)
-    order_x, order_y = np.argsort(h[x]), np.argsort(h[y])
-    a = neardup.samples(h[x][order_x], w[x][order_x], 2048)
-    b = neardup.samples(h[y][order_y], w[y][order_y], 2048, step=50)
-    expected = w[60:220].sum() / w.sum()
-    assert abs((a == b).mean() - expected) < 0.05
-
-
 # -- 4: scans -----------------------------------------------------------------------------------------------------------------------------------
 
 

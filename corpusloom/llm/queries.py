@@ -80,9 +80,9 @@ def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.scans import repair_scans, scanned_records
 
     ocr, conversions = table(spark, sf_dir, "ocr_results"), table(spark, sf_dir, "conversions")
-    records = materialize(scanned_records(ocr, conversions, table(spark, sf_dir, "file_catalog")), "scans")
+    records = scanned_records(ocr, conversions, table(spark, sf_dir, "file_catalog"))
     vocabulary = spread(conversions.select("conv_id", "markdown"), "conv_id").select("markdown").unionAll(ocr.select("text"))
-    return repair_scans(spread(records, "rec_id"), vocabulary)
+    return repair_scans(records, vocabulary)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

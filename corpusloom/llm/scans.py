@@ -1,9 +1,11 @@
 """Noise in text from scanned pages: page furniture, words broken over line ends, misread characters.
 
-Furniture is found by fuzzy repetition at page edges: a line is reduced to its shape (classes of words, digits as one
-sign, so that page-number sequences and misread titles fall together), and a shape is furniture if it stands at the edges of
-pages far more often than inside them. Broken words are joined, and misread words corrected, if the corpus' vocabulary
-knows the result much better than what stands there. Shapes and words are counted over all texts.
+Furniture is found by fuzzy repetition at page edges, in three ways: a line at the edge of a page whose words, with letters that
+scanning confuses falling together, stand at an edge of another page of the same scan; numbers that run with the pages (the
+difference of number and page is that of another page of the scan, or the numbered heads inside one long text count up); and,
+over the whole corpus, a form of line (classes of words, digits as one sign) that stands at page edges far more often than
+inside pages. Broken words are joined, and misread words corrected, if the corpus' vocabulary knows the result much better than
+what stands there. Forms and words are counted over all texts.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.sketch import hashed_counts, lookup
+from corpusloom.operators.skew import join_counts
+from corpusloom.session import materialize
 
 
 @dataclass(frozen=True)
@@ -30,8 +34,8 @@ class Settings:
     edge_least: int = 5  # least number of them
     known: int = 5  # least count of a word that a repair may lead to
     better: float = 25.0  # how many times better known it must be than what stands there
-    longest: int = 90  # a longer line is no furniture
-    longest_word: int = 40  # a longer run of letters is no word
+    apart: int = 3  # least lines between numbered heads inside a text; rows of a table stand closer
+    two_up_to: int = 40  # two misreadings at once are undone in words of up to so many letters, a single one in words of any length
 
 
 # What scanning takes for what, as (read, meant).
@@ -46,6 +50,9 @@ CONFUSIONS = [
 _SIGNS = str.maketrans("015986324|@$!", "olsgbbezalasi")
 #: Conjunctions before which a hyphen at a line end is a compound part's own.
 CONJUNCTIONS = {"and", "or", "und", "oder", "bzw", "sowie", "bis", "et", "ou", "y", "e", "o", "u", "to", "и", "или"}
+#: Letters that scanning takes for one another, as one: pairs of them first, then single ones.
+_FOLDED = [("rn", "m"), ("nn", "m"), ("cl", "d"), ("vv", "w"), ("ii", "u")]
+_FOLD = {ord(c): one for one, many in {"l": "1i|!jtf", "c": "0oae", "s": "5$", "g": "69q", "b": "8h", "u": "nvy", "z": "2"}.items() for c in many}
 HYPHENS = "-¬\u00ad\u2010\u2011"
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -56,10 +63,30 @@ _WORD = re.compile(r"[^\W_](?:[^\W_]|[@|$!€¢](?=[^\W_]))*[@|$]?|[@|$][^\W\d_]
 _GAP = re.compile(r"[ \t]{3,}")
 _PAGE_NUMBER = re.compile(r"(?:[^\W\d_]{1,6}\.? ?)?[-~\[(–]? ?\d{1,4} ?[-~\])–]?(?: (?:of|von|de|sur|/) ?\d{1,4})?$")
 _SPLIT = re.compile(r"[^\W\d_]+")
+_BREAK = re.compile(r"\r\n|[\n\r\x0b]")
+_DIGITS = re.compile(r"\d{1,4}")
 
 
-def shape(line: str) -> str:
-    """A line's shape: its words by class, its digits as one sign, its punctuation as it is."""
+@dataclass(frozen=True)
+class Numbered:
+    """A line with a page number: alone, or set apart by a gap from a title before or after it."""
+
+    title: str
+    cell: str
+    number: int
+    first: bool  # whether the number comes first
+
+
+def numbered_line(line: str) -> Numbered | None:
+    if _PAGE_NUMBER.match(line):
+        return Numbered("", line, int(_DIGITS.search(line)[0]), True)
+    if "   " not in line and "\t" not in line or line[-1] in ".!?。" or len(cells := _GAP.split(line)) != 2:
+        return None
+    at = next((i for i in (1, 0) if _PAGE_NUMBER.match(cells[i])), None)
+    return None if at is None else Numbered(cells[1 - at], cells[at], int(_DIGITS.search(cells[at])[0]), at == 0)
+
+
+def _classes(line: str) -> str:
     out = []
     for w in _TOKEN.findall(line):
         if _NUMBER.match(w):
@@ -74,24 +101,84 @@ def shape(line: str) -> str:
     return " ".join(out)
 
 
+def shape(line: str) -> str:
+    """A line's form: its words by class, its digits as one sign, its punctuation as it is; a title set apart from a page number
+    is one sign."""
+    n = numbered_line(line)
+    if n is None or not n.title:
+        return _classes(line)
+    return f"{_classes(n.cell)} \t T" if n.first else f"T \t {_classes(n.cell)}"
+
+
+def skeleton(title: str) -> str:
+    """A title as scanning may have read it: letters that are taken for one another as one, numbers as one sign."""
+    words = ("#" if w.isdigit() else w for w in re.findall(r"[^\W_]+|[@|$!€¢]", title.casefold()))
+    joined = "".join(words)
+    for read, meant in _FOLDED:
+        joined = joined.replace(read, meant)
+    return joined.translate(_FOLD)
+
+
 def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text)
 
 
 def _lines(text: str) -> list[str]:
-    return re.split(r"\r\n|[\n\r\x0b\x0c]", text)
+    return _BREAK.split(text)
 
 
-def edge_shapes(text: str, s: Settings) -> tuple[list[int], list[int]]:
-    """Hashes of the shapes at the edges of a page (its first and last line that aren't blank) and inside it."""
-    lines = [x for x in map(str.strip, _lines(text)) if x]
+def edges(text: str, deep: int = 1) -> tuple[list[str], set[int]]:
+    """The lines of a text, stripped, and which of them are the first or last ``deep`` of a page that aren't blank; form feeds part pages."""
+    lines: list[str] = []
+    at: set[int] = set()
+    for page in text.split("\x0c"):
+        mine = [x.strip() for x in _lines(page)]
+        full = [len(lines) + i for i, x in enumerate(mine) if x]
+        at.update(full[:deep], full[-deep:])
+        lines += mine
+    return lines, at
+
+
+def edge_shapes(text: str) -> tuple[list[int], list[int]]:
+    """Hashes of the forms of lines at the edges of pages and inside them."""
+    lines, at = edges(text)
     edge, inside = [], []
     for i, line in enumerate(lines):
-        if len(line) <= s.longest:
-            (edge if i in (0, len(lines) - 1) else inside).append(_hash(shape(line)))
+        if line:
+            (edge if i in at else inside).append(_hash(shape(line)))
     return edge, inside
 
 
+def running_heads(lines: list[str], at: set[int], apart: int) -> set[int]:
+    """Lines of one text that are numbered heads or feet of its pages: their numbers count up by one (or two, where a page's is
+    lost), or their titles repeat; at least ``apart`` full lines lie between. A bare number proves nothing inside a page."""
+    found: set[int] = set()
+    heads: list[tuple[int, int, Numbered]] = []
+    row = 0
+    for i, line in enumerate(lines):
+        if not line:
+            continue
+        row += 1
+        n = numbered_line(line)
+        if n is not None and (n.title or i in at or not n.cell.isdigit()):
+            heads.append((i, row, n))
+    # Neighbours are rows of a table.
+    rows = {r for _, r, _ in heads}
+    heads = [h for h in heads if h[0] in at or not {h[1] - 1, h[1] + 1} & rows]
+    by_number: dict[int, list[tuple[int, int, Numbered]]] = {}
+    by_title: dict[str, tuple[int, int]] = {}
+    for i, r, n in heads:
+        for j, q, m in (*by_number.get(n.number - 1, ()), *by_number.get(n.number - 2, ())):
+            if r - q > apart and bool(m.title) == bool(n.title) and m.first == n.first:
+                found |= {i, j}
+        by_number.setdefault(n.number, []).append((i, r, n))
+        if len(key := skeleton(n.title)) >= 4:
+            if key in by_title and r - by_title[key][1] > apart:
+                found |= {i, by_title[key][0]}
+            by_title[key] = (i, r)
+    return found
+
+
 def vocabulary_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     """The words of whole texts (letters only, lower-cased), counted as often as they stand."""
     held: list[int] = []
@@ -109,17 +196,44 @@ _word_hash = lru_cache(maxsize=1 << 18)(_hash)
 _INSIDE = np.uint64(0x5851F42D4C957F2D)
 
 
-def shape_keys(s: Settings):
-    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        edge, inside = [], []
-        for t in batch.column(0).to_pylist():
-            if t:
-                a, b = edge_shapes(t, s)
-                edge += a
-                inside += b
-        yield np.concatenate([np.array(edge, np.uint64), np.array(inside, np.uint64) ^ _INSIDE])
+def shape_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    edge, inside = [], []
+    for t in batch.column(0).to_pylist():
+        if t:
+            a, b = edge_shapes(t)
+            edge += a
+            inside += b
+    yield np.concatenate([np.array(edge, np.uint64), np.array(inside, np.uint64) ^ _INSIDE])
+
+
+def repeated_edges(records: DataFrame) -> DataFrame:
+    """``src, rec_id, lines``: the lines at the edges of pages that repeat on another page of their scan, by their words or by
+    numbers that run with the pages. Of ``records(src, rec_id, scan, page_no, text)``, those without scan or page give no row.
 
-    return keys
+    Only two or four marks a page are compared, by their counts; the pages of a scan never come together.
+    """
+    schema = "src string, rec_id bigint, page int, line int, mark bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for src, rec, scan, page, text in zip(*(c.to_pylist() for c in batch.columns)):
+                lines, outer = edges(text)
+                for i in sorted(edges(text, 2)[1]):  # a number may stand behind a stamp; words only at the very edge
+                    n = numbered_line(lines[i])
+                    # A sentence may end with the same words on two pages.
+                    if i in outer and lines[i][-1] not in ".!?。" and len(key := skeleton(n.title if n else lines[i])) >= 4:
+                        out.append((src, rec, page, i, _hash(f"{src} {scan} words {key}") - (1 << 63)))
+                    if n:
+                        out.append((src, rec, page, i, _hash(f"{src} {scan} runs {n.number - page}") - (1 << 63)))
+            cols = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], ["src", "rec_id", "page", "line", "mark"])
+
+    paged = records.where("scan IS NOT NULL AND page_no IS NOT NULL AND text <> ''").select("src", "rec_id", "scan", "page_no", "text")
+    marks = materialize(paged.mapInArrow(run, schema), "marks")
+    counts = marks.groupBy("mark").agg(F.count("*").alias("n"), F.min("page").alias("low"), F.max("page").alias("high"))
+    again = join_counts(marks.select("src", "rec_id", "line", "mark"), materialize(counts, "marked"), "mark", "n", F.col("low") < F.col("high"))
+    return again.groupBy("src", "rec_id").agg(F.collect_set("line").alias("lines"))  # at most four lines a page
 
 
 class Reader:
@@ -139,12 +253,8 @@ class Reader:
             n = self.counts[word] = int(lookup(self.words, np.array([_hash(word)], np.uint64))[0])
         return n
 
-    def furniture(self, line: str) -> bool:
-        """Whether a line is page furniture: by its shape, or as a title and a page number set apart by a gap."""
-        if not line or len(line) > self.s.longest:
-            return False
-        if len(cells := _GAP.split(line)) == 2 and line[-1] not in ".!?。" and any(_PAGE_NUMBER.match(c) for c in cells):
-            return True
+    def common_at_edges(self, line: str) -> bool:
+        """Whether the form of a line stands at page edges in the corpus, far more often than inside pages."""
         form = shape(line)
         known = self.judged.get(form)
         if known is None:
@@ -155,6 +265,16 @@ class Reader:
             known = self.judged[form] = edge >= self.s.edge_least and edge >= self.s.edge_share * (edge + inside) and form[-1] not in ".!?。"
         return known
 
+    def furniture(self, text: str, repeated: set[int]) -> tuple[list[str], set[int]]:
+        """The lines of a text and which of them are furniture. ``repeated`` are known to repeat on other pages of the scan."""
+        lines, at = edges(text)
+        found = {i for i in repeated if i < len(lines)} | running_heads(lines, at, self.s.apart)
+        for i, line in enumerate(lines):
+            # Inside a page a title and a number set apart may be a row of a table: there, only what repeats or counts up is furniture.
+            if line and i not in found and self.common_at_edges(line) and (i in at or "\t" not in shape(line)):
+                found.add(i)
+        return lines, found
+
     def meant(self, word: str) -> str | None:
         """The word that was misread as ``word``, or None if it is none: one or two confusions away, and known much better."""
         low = word.lower()
@@ -166,13 +286,13 @@ class Reader:
         letters = sum(c.isalpha() for c in low)
         clean = letters == len(low)
         here = self.count(low) if clean else 0
-        if 3 <= len(low) <= self.s.longest_word and letters * 2 > len(low) and not (clean and here >= 400 * self.s.known):
+        if 3 <= len(low) and letters * 2 > len(low) and not (clean and here >= 400 * self.s.known):
             floor = max(self.s.known, self.s.better * here)
             near = self._apart(low)
             if not clean:  # all its signs at once
                 near += [low.translate(_SIGNS), low.replace("1", "i").translate(_SIGNS)]
             best = self._best(near, floor)
-            if best is None and not (clean and here >= self.s.known):
+            if best is None and len(low) <= self.s.two_up_to and not (clean and here >= self.s.known):
                 best = self._best([other for first in near for other in self._apart(first) if other != low], 4 * floor)
         self.fixes[low] = best
         return best
@@ -209,15 +329,11 @@ class Reader:
         # Unknown as a whole: broken if a part alone is no word either, else a compound with its own hyphen.
         return left + right if apart < self.s.known and right.lower() not in CONJUNCTIONS else None
 
-    def read(self, text: str) -> tuple[str, dict[str, int]]:
+    def read(self, text: str, repeated: set[int] = frozenset()) -> tuple[str, dict[str, int]]:
         """The repaired text, in paragraphs, and how often each defect was found."""
-        found = {"furniture": 0, "hyphen": 0, "misread": 0}
-        kept = []
-        for line in map(str.rstrip, _lines(text)):
-            if self.furniture(line.strip()):
-                found["furniture"] += 1
-            else:
-                kept.append(line)
+        lines, gone = self.furniture(text, repeated)
+        found = {"furniture": len(gone), "hyphen": 0, "misread": 0}
+        kept = [line for i, line in enumerate(lines) if i not in gone]
         body = "\n".join(kept)
 
         def join(m: re.Match) -> str:
@@ -264,27 +380,34 @@ def _paragraphs(text: str) -> str:
 
 
 def scanned_records(ocr: DataFrame, conversions: DataFrame, catalog: DataFrame) -> DataFrame:
-    """``src, rec_id, text``: recognised pages, and conversions of the catalog kinds ``pdf`` and ``image``. Null texts are left out."""
+    """``src, rec_id, scan, page_no, text``: recognised pages, and conversions of the catalog kinds ``pdf`` and ``image``, which
+    have no page. Null texts are left out."""
     kinds = catalog.where(F.lower(F.trim("kind")).isin("pdf", "image")).select("scan_row_id").distinct()
     conv = conversions.where("markdown IS NOT NULL").select("conv_id", "scan_row_id", "markdown").join(kinds, "scan_row_id", "left_semi")
-    pages = ocr.where("text IS NOT NULL").select(F.lit("ocr").alias("src"), F.col("ocr_id").alias("rec_id"), "text")
-    return pages.unionAll(conv.select(F.lit("conv").alias("src"), F.col("conv_id").alias("rec_id"), F.col("markdown").alias("text")))
+    pages = ocr.where("text IS NOT NULL").select(F.lit("ocr").alias("src"), F.col("ocr_id").alias("rec_id"), F.col("scan_row_id").alias("scan"), F.col("page_no").cast("int").alias("page_no"), "text")
+    none = F.lit(None)
+    conv = conv.select(F.lit("conv").alias("src"), F.col("conv_id").alias("rec_id"), none.cast("bigint").alias("scan"), none.cast("int").alias("page_no"), F.col("markdown").alias("text"))
+    return pages.unionAll(conv)
 
 
 def repair_scans(records: DataFrame, vocabulary: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``src, rec_id, repaired, furniture, hyphen, misread`` of every record: the text in paragraphs and the number of each defect.
 
-    ``vocabulary`` is one column of texts whose words count as known. Empty texts come back empty, without defects.
+    ``records(src, rec_id, scan, page_no, text)``: the pages of a scan share ``scan``; both may be null. ``vocabulary`` is one
+    column of texts whose words count as known. Null texts are left out, empty ones come back empty, without defects.
     """
+    records = records.where("text IS NOT NULL").select("src", "rec_id", "scan", "page_no", "text").repartition("src", "rec_id")
+    records = materialize(records, "records")  # spread evenly, whatever the files they came from
     words = hashed_counts(vocabulary, vocabulary_keys, s.word_bits, 2)
-    shapes = hashed_counts(records.select("text"), shape_keys(s), s.shape_bits, 2)
+    shapes = hashed_counts(records.select("text"), shape_keys, s.shape_bits, 2)
     sent = records.sparkSession.sparkContext.broadcast((words.clip(max=(1 << 32) - 1).astype(np.uint32), shapes.clip(max=(1 << 32) - 1).astype(np.uint32)))  # fixed sizes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(*sent.value, s)
         for batch in batches:
-            read = [reader.read(t) for t in batch.column(2).to_pylist()]
+            read = [reader.read(t, set(again or ())) for t, again in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             counts = [pa.array([f[d] for _, f in read], pa.int32()) for d in ("furniture", "hyphen", "misread")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t for t, _ in read], pa.string()), *counts], ["src", "rec_id", "repaired", "furniture", "hyphen", "misread"])
 
-    return records.mapInArrow(run, "src string, rec_id bigint, repaired string, furniture int, hyphen int, misread int")
+    known = records.select("src", "rec_id", "text").join(repeated_edges(records), ["src", "rec_id"], "left")
+    return known.select("src", "rec_id", "text", "lines").mapInArrow(run, "src string, rec_id bigint, repaired string, furniture int, hyphen int, misread int")

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusloom.llm import encoding, mixing, packing, residue, scans, splitting, survivors, tokens
+from corpusloom.llm import encoding, mixing, packing, residue, splitting, survivors, tokens
 from corpusloom.llm.lexicon import Lexicon
 from corpusloom.llm.prefix import running_sums
 from corpusloom.llm.sketch import hashed_counts, lookup
@@ -111,23 +111,6 @@ def test_wrong_encodings_escaped_into_ascii(spark):
     assert got == {1000: GERMAN[0], 1001: GERMAN[1], 1002: GERMAN[2], 1010: GERMAN[0]}
 
 
-# -- 4: scans -----------------------------------------------------------------------------------------------------------------------------------
-
-
-def test_scans(spark):
-    clean = "the technician reads the morning report and the table near the reading desk before the overnight report"
-    pages = [(i, f"Handbook of gauges {i}\n{clean}\nthe tech-\nnician reads the rnorning table\nfill in both the pre-\nand the overnight report\n\nReadings:\n41 mm\n77 mm\n[{i}]") for i in range(12)]
-    odd = [(50, ""), (51, clean), (52, "B0R-51 and l10n and H2O")]
-    records = spark.createDataFrame([("ocr", i, t, "clash") for i, t in pages + odd], "src string, rec_id bigint, text string, repaired string").select("src", "rec_id", "text")
-    vocabulary = spark.createDataFrame([(clean + " fill in both the pre",)] * 40 + [(None,)], "t string")
-    got = {r.rec_id: r for r in scans.repair_scans(records, vocabulary).collect()}
-    page = got[3]
-    assert (page.furniture, page.hyphen, page.misread) == (2, 1, 1)
-    assert "technician reads the morning table" in page.repaired and "pre- and" in page.repaired and "[3]" not in page.repaired and "77 mm" in page.repaired
-    assert (got[50].repaired, got[50].furniture) == ("", 0) and got[51].misread == got[52].misread == 0
-    assert scans.repair_scans(records.where("false"), vocabulary.where("false")).count() == 0
-
-
 # -- 6: splitting --------------------------------------------------------------------------------------------------------------------------------
 
 

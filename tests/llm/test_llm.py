@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusloom.llm import encoding, mixing, packing, residue, splitting, survivors, tokens
+from corpusloom.llm import encoding, mixing, packing, splitting, survivors, tokens
 from corpusloom.llm.lexicon import Lexicon
 from corpusloom.llm.prefix import running_sums
 from corpusloom.llm.sketch import hashed_counts, lookup
@@ -255,33 +255,3 @@ def test_mix(spark):
     assert shares["nothing"] == 0 and all(abs(shares[s] - x / 0.9) < 0.01 for s, x in (("big", 0.5), ("small", 0.3), ("both_a", 0.1)))
     nothing, report = mixing.mix(counted.where("false"), targets)
     assert nothing.count() == 0 and {r.actual_share for r in report.collect()} == {0.0}
-
-
-# -- 10: residue --------------------------------------------------------------------------------------------------------------------------------------
-
-
-def test_residue(spark):
-    cases = {
-        "# Title\n\n404 Not Found\n\nReference 12": True,
-        "Home\nYou need to enable JavaScript to run this app.\nContact": True,
-        "Dear {{ owner_name }},\n\nreal text": True,
-        "Report for (DD.MM.YYYY), unit 5.": True,
-        "Lorem ipsum dolor sit amet orci nulla vexil.": True,
-        "dummy dummy dummy dummy dummy dummy": True,
-        "此处为占位文字": True,
-        "When the mirror answers 404 Not Found, the fetcher notes the address and goes on; 9 of 12 were lost that way.": False,
-        "2024-01-01 10:00:00 ERROR [web] 503 Service Temporarily Unavailable after 4 tries": False,
-        'greeting: "Hello {{ owner_name }}"': False,
-        "The page template prints `{{ serial }}` and `${unit_id}`; the build fills both.": False,
-        "```sh\ncp ${SRC}/a /b && echo __init__\n```": False,
-        "path: ${HOME}/report": False,
-        "Write the name of operator in field [3] and leave <PROFILE> to the office.": False,
-        "We tested the viewer with JavaScript switched off, and the table stayed readable.": False,
-        "": False,
-        "  \n ": False,
-    }
-    filler = [(1000 + i, f"ordinary text of the unit number {i} near the gate, which the crew checks", "x") for i in range(200)]
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(cases)] + filler + [(999, None, "x")], "id bigint, t string, labels string")
-    found = {r.id for r in residue.residue(df, "id", "t").collect()}
-    assert found == {i for i, bad in enumerate(cases.values()) if bad}
-    assert residue.residue(df.where("false"), "id", "t").count() == 0

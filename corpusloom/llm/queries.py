@@ -18,7 +18,22 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import survivors as S
 
-    return S.survivors(table(spark, sf_dir, "dup_groups"), table(spark, sf_dir, "file_catalog"), table(spark, sf_dir, "scan_trees"))
+    return S.survivors(table(spark, sf_dir, "dup_groups"), table(spark, sf_dir, "file_catalog"), table(spark, sf_dir, "scan_trees"))[0]
+
+
+def p1_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every path of a group that the model judges true."""
+    from corpusloom.llm import survivors as S
+
+    return S.survivors(table(spark, sf_dir, "dup_groups"), table(spark, sf_dir, "file_catalog"), table(spark, sf_dir, "scan_trees"))[1]
+
+
+def p1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sensitivity and specificity that the model learned of every source: each respect in each tree."""
+    from corpusloom.llm import survivors as S
+
+    rows = materialize(S.members(table(spark, sf_dir, "dup_groups"), table(spark, sf_dir, "file_catalog"), table(spark, sf_dir, "scan_trees")), "members")
+    return S.quality_model(S.respect_votes(rows))[1].drop("field")
 
 
 def _profile(spark: SparkSession, sf_dir: str, purpose: str):
@@ -143,7 +158,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p9(spark, sf_dir)[1]
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p3_found": p3_found, "p3_classes": p3_classes, "p2_restored": p2_restored, "p2_found": p2_found, "p4_repaired": p4_repaired, "p4_found": p4_found, "p10_residue": p10_residue, "p10_found": p10_found, "p10_kept": p10_kept, "p7_pack": p7_pack, "p7_files": p7_files, "p7_fill": p7_fill, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p1_quality": p1_quality, "p1_paths": p1_paths, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p3_found": p3_found, "p3_classes": p3_classes, "p2_restored": p2_restored, "p2_found": p2_found, "p4_repaired": p4_repaired, "p4_found": p4_found, "p10_residue": p10_residue, "p10_found": p10_found, "p10_kept": p10_kept, "p7_pack": p7_pack, "p7_files": p7_files, "p7_fill": p7_fill, "p9_mix": p9_mix, "p9_shares": p9_shares}
 _MARKED = (
     r"(regexp_matches(regexp_extract(replace(rel_path, '\', '/'), '[^/]*$'), '(?i)^copy of | - (copy|kopie)(\.[a-z0-9]{1,5})?$| 副本(\.[a-z0-9]{1,5})?$| \(\d{1,3}\)(\.[a-z0-9]{1,5})?$|_old(\.[a-z0-9]{1,5})?$|\.bak$|~$')"
     r" OR regexp_matches(replace(rel_path, '\', '/'), '(^|/)(old|\.trash|tmp|backup)/'))"

@@ -1,22 +1,28 @@
 """Best representative of each duplicate group: a latent two-sided quality model.
 
-Claims are (entity, fact, source, said): a source that covers an entity either asserts a fact about it or, by giving another
-value or none, denies it. Sensitivity (how often a source asserts what is true) and specificity (how often it stays away
+A source that covers an entity either asserts a fact about it or, by giving another value or none, denies it: the fact's votes. Sensitivity (how often a source asserts what is true) and specificity (how often it stays away
 from what is false) of every source are inferred together with the truth of the facts by expectation-maximisation, so a
-field may keep several values judged true. Facts with the same sources for and against are one pattern: the EM runs over
-pattern counts, and the driver holds only the sources' qualities (sources x fields, bounded by ``MAX_QUALITIES``).
+field may keep several values judged true. A source of few claims leans on what is learned of its kind. Facts with the same
+sources for and against are one pattern: the EM runs over pattern counts, on the driver while they are few (``FEW``), else in
+Spark, by the same steps; neither limits anything.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.skew import join_counts
 from corpusloom.session import materialize
 
-MAX_QUALITIES = 200_000
-#: Pseudo-counts of the sources' priors, as (hits, misses): what is true is mostly asserted, what is false mostly not.
-SENSITIVITY, SPECIFICITY = (8.0, 2.0), (9.0, 1.0)
+#: Patterns and votes up to which the EM runs on the driver (some 50 MB).
+FEW = 200_000
+#: Pseudo-counts of what is known before of a kind of source, as (hits, misses), and of a source by its kind.
+SENSITIVITY, SPECIFICITY, KIND = (8.0, 2.0), (9.0, 1.0), 20.0
+#: The share of facts that are true, at first.
+PREVALENCE = 0.5
+_LEAST = 0.005
 #: No file of these trees is older; the epochs of common file systems lie before it.
 EARLIEST = "1981-01-01 00:00:00"
 
@@ -62,121 +68,193 @@ def members(groups: DataFrame, catalog: DataFrame, trees: DataFrame) -> DataFram
     return ids.join(rows, "scan_row_id").join(trust, "tree_id", "left")
 
 
-def quality_model(claims: DataFrame, rounds: int = 5) -> tuple[DataFrame, dict[tuple[str, str], tuple[float, float]]]:
-    """Truth of facts and quality of sources from ``claims(entity, field, fact, source, said)``, one row per source and fact.
+def _kind(source: str) -> str:
+    return source.split("@")[0]
+
+
+def _em(patterns: list[tuple[str, list[str], int]], rounds: int, prevalence: float) -> tuple[list[float], dict[tuple[str, str], tuple[float, float]]]:
+    """Truth of every pattern ``(field, votes, n)`` and quality of every (field, source)."""
+    at = {}
+    rows, cols, said = [], [], []
+    for i, (field, votes, _) in enumerate(patterns):
+        for v in votes:
+            rows.append(i)
+            cols.append(at.setdefault((field, v[:-1]), len(at)))
+            said.append(v[-1] == "+")
+    rows, cols, said = np.array(rows, np.int64), np.array(cols, np.int64), np.array(said, bool)
+    n = np.array([p[2] for p in patterns], np.float64)
+    fields = {f: i for i, f in enumerate(sorted({p[0] for p in patterns}))}
+    of = np.array([fields[p[0]] for p in patterns], np.int64)
+    kinds: dict[tuple[str, str], int] = {}
+    kind = np.array([kinds.setdefault((f, _kind(s)), len(kinds)) for f, s in at], np.int64)
+    sens = np.full(len(at), SENSITIVITY[0] / sum(SENSITIVITY))
+    spec = np.full(len(at), SPECIFICITY[0] / sum(SPECIFICITY))
+    share = np.full(len(fields), prevalence)
+    truth = np.zeros(len(n))
+    for i in range(rounds + 1):
+        weight = np.where(said, np.log(sens / (1 - spec))[cols], np.log((1 - sens) / spec)[cols])
+        odds = np.log(share / (1 - share))[of] + np.bincount(rows, weight, len(n))
+        truth = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        if i == rounds:
+            break
+        t, f = (truth * n)[rows], ((1 - truth) * n)[rows]
+        tp, fn, fp, tn = (np.bincount(cols, w, len(at)) for w in (t * said, t * ~said, f * said, f * ~said))
 
-    Returns ``(entity, field, fact, truth)`` and ``{(field, source): (sensitivity, specificity)}``.
-    A field's facts without any claim give no row; one claim alone is judged by the priors.
-    """
-    spark = claims.sparkSession
-    votes = F.array_sort(F.collect_list(F.concat(F.col("source"), F.when(F.col("said"), "+").otherwise("-"))))
-    # collect_list per fact holds at most one vote per source, so it is bounded by the number of sources.
-    facts = materialize(claims.groupBy("entity", "field", "fact").agg(votes.alias("votes")), "facts")
-    patterns = materialize(facts.groupBy("field", "votes").agg(F.count("*").alias("n")), "patterns")
+        def quality(hit: np.ndarray, miss: np.ndarray, prior: tuple[float, float]) -> np.ndarray:
+            known = np.bincount(kind, hit, len(kinds)) + prior[0], np.bincount(kind, miss, len(kinds)) + prior[1]
+            usual = (known[0] / (known[0] + known[1]))[kind]
+            return np.clip((hit + KIND * usual) / (hit + miss + KIND), _LEAST, 1 - _LEAST)
+
+        sens, spec = quality(tp, fn, SENSITIVITY), quality(tn, fp, SPECIFICITY)
+        true, every = np.bincount(of, truth * n, len(fields)), np.bincount(of, n, len(fields))
+        share = np.clip((true + prevalence) / (every + 1), _LEAST, 1 - _LEAST)
+    return truth.tolist(), {key: (float(sens[j]), float(spec[j])) for key, j in at.items()}
+
+
+def _em_spread(patterns: DataFrame, rounds: int, prevalence: float) -> tuple[DataFrame, DataFrame]:
+    """``_em`` in Spark, for any number of patterns and sources: ``field, votes, truth`` and ``field, source, sens, spec``."""
+    vote = F.col("vote")
     ballots = patterns.select("field", "votes", "n", F.explode("votes").alias("vote")).select(
-        "field", "votes", "n", F.expr("left(vote, length(vote) - 1)").alias("source"), F.col("vote").endswith("+").alias("said")
+        "field", "votes", "n", F.expr("left(vote, length(vote) - 1)").alias("source"), vote.endswith("+").alias("said")
     )
-    quality: dict[tuple[str, str], tuple[float, float]] = {}
-    start = (SENSITIVITY[0] / sum(SENSITIVITY), SPECIFICITY[0] / sum(SPECIFICITY))
-
-    def odds(ballots: DataFrame, keys: list[str]) -> DataFrame:
-        if quality:
-            known = spark.createDataFrame([(f, s, a, b) for (f, s), (a, b) in quality.items()], "field string, source string, sens double, spec double")
-            ballots = ballots.join(F.broadcast(known), ["field", "source"], "left")  # at most MAX_QUALITIES rows
-        else:
-            ballots = ballots.withColumns({"sens": F.lit(start[0]), "spec": F.lit(start[1])})
-        sens, spec = F.coalesce("sens", F.lit(start[0])), F.coalesce("spec", F.lit(start[1]))
-        weight = F.when(F.col("said"), F.log(sens / (1 - spec))).otherwise(F.log((1 - sens) / spec))
-        return ballots.groupBy(*keys).agg(F.sum(weight).alias("odds")).withColumn("truth", 1 / (1 + F.exp(-F.col("odds"))))
+    ballots = materialize(ballots, "ballots")
+    quality = ballots.select("field", "source").distinct().withColumns({"sens": F.lit(SENSITIVITY[0] / sum(SENSITIVITY)), "spec": F.lit(SPECIFICITY[0] / sum(SPECIFICITY))})
+    share = patterns.select("field").distinct().withColumn("share", F.lit(prevalence))
+
+    def judge() -> DataFrame:
+        weight = F.when(F.col("said"), F.log(F.col("sens") / (1 - F.col("spec")))).otherwise(F.log((1 - F.col("sens")) / F.col("spec")))
+        odds = ballots.join(quality, ["field", "source"]).groupBy("field", "votes", "n").agg(F.sum(weight).alias("odds")).join(share, "field")
+        return odds.select("field", "votes", "n", (1 / (1 + F.exp(-(F.col("odds") + F.log(F.col("share") / (1 - F.col("share"))))))).alias("truth"))
 
     for _ in range(rounds):
-        truth = odds(ballots, ["field", "votes", "n"]).select("field", "votes", "truth", "n")
+        truth = materialize(judge(), "truth")
         each = truth.select("field", "truth", "n", F.explode("votes").alias("vote"))
-        t, f, yes = F.col("truth") * F.col("n"), (1 - F.col("truth")) * F.col("n"), F.col("vote").endswith("+")
+        t, f, yes = F.col("truth") * F.col("n"), (1 - F.col("truth")) * F.col("n"), vote.endswith("+")
         stats = each.groupBy("field", F.expr("left(vote, length(vote) - 1)").alias("source")).agg(
-            F.sum(F.when(yes, t)).alias("tp"), F.sum(F.when(~yes, t)).alias("fn"), F.sum(F.when(yes, f)).alias("fp"), F.sum(F.when(~yes, f)).alias("tn")
+            F.sum(F.when(yes, t).otherwise(0.0)).alias("tp"), F.sum(F.when(~yes, t).otherwise(0.0)).alias("fn"), F.sum(F.when(yes, f).otherwise(0.0)).alias("fp"), F.sum(F.when(~yes, f).otherwise(0.0)).alias("tn")
         )
-        found = stats.limit(MAX_QUALITIES + 1).collect()
-        if len(found) > MAX_QUALITIES:
-            raise ValueError(f"more than {MAX_QUALITIES} sources and fields; group the sources first")
-        before, quality = quality, {}
-        for r in found:
-            tp, fn, fp, tn = (x or 0.0 for x in (r.tp, r.fn, r.fp, r.tn))
-            sens = (tp + SENSITIVITY[0]) / (tp + fn + sum(SENSITIVITY))
-            spec = (tn + SPECIFICITY[0]) / (tn + fp + sum(SPECIFICITY))
-            # A source that says nothing (sens + spec <= 1) must not count against what it asserts.
-            quality[r.field, r.source] = (min(max(sens, 1 - spec + 0.01, 0.05), 0.995), min(max(spec, 0.05), 0.99))
-        if before and max(abs(a - b) for k in quality for a, b in zip(quality[k], before.get(k, (9, 9)))) < 1e-3:
-            break
-    # Of a pattern, all facts share one truth.
-    judged = odds(ballots, ["field", "votes"]).select("field", "votes", "truth")
-    return facts.join(judged, ["field", "votes"]).select("entity", "field", "fact", "truth"), quality
+        stats = stats.withColumn("kind", F.split("source", "@")[0])
+        usual = stats.groupBy("field", "kind").agg(*(F.sum(c).alias("u" + c) for c in ("tp", "fn", "fp", "tn")))
+
+        def shrunk(hit: str, miss: str, prior: tuple[float, float]) -> Column:
+            mean = (F.col("u" + hit) + prior[0]) / (F.col("u" + hit) + F.col("u" + miss) + sum(prior))
+            got = (F.col(hit) + KIND * mean) / (F.col(hit) + F.col(miss) + KIND)
+            return F.least(F.greatest(got, F.lit(_LEAST)), F.lit(1 - _LEAST))
 
+        quality = materialize(stats.join(usual, ["field", "kind"]).select("field", "source", shrunk("tp", "fn", SENSITIVITY).alias("sens"), shrunk("tn", "fp", SPECIFICITY).alias("spec")), "quality")
+        part = (F.sum(F.col("truth") * F.col("n")) + prevalence) / (F.sum("n") + 1)
+        share = materialize(truth.groupBy("field").agg(F.least(F.greatest(part, F.lit(_LEAST)), F.lit(1 - _LEAST)).alias("share")), "share")
+    return judge().select("field", "votes", "truth"), quality
 
-#: The four respects in which a row may be the best of its group; each is a source of the model's field ``survivor``.
+
+def votes_of(claims: DataFrame) -> DataFrame:
+    """``entity, field, fact, votes`` of ``claims(entity, field, fact, source, said)``, one row per source and fact."""
+    votes = F.array_sort(F.collect_list(F.concat(F.col("source"), F.when(F.col("said"), "+").otherwise("-"))))
+    # collect_list per fact holds at most one vote per source, so it is bounded by the number of sources.
+    return claims.groupBy("entity", "field", "fact").agg(votes.alias("votes"))
+
+
+def quality_model(facts: DataFrame, rounds: int = 5, prevalence: float = PREVALENCE, few: int = FEW) -> tuple[DataFrame, DataFrame]:
+    """Truth of facts and quality of sources from ``facts(entity, field, fact, votes)``; a vote is a source and ``+`` or ``-``.
+
+    A source is named ``kind@which``; its quality leans on that of its kind. Returns ``(entity, field, fact, truth)`` and
+    ``(field, source, sens, spec)``. A field's facts without any claim give no row; one claim alone is judged by the priors.
+    """
+    spark = facts.sparkSession
+    facts = materialize(facts.select("entity", "field", "fact", "votes"), "facts")
+    patterns = materialize(facts.groupBy("field", "votes").agg(F.count("*").alias("n")), "patterns")
+    ballots = patterns.agg(F.coalesce(F.sum(F.size("votes")), F.lit(0))).first()[0]
+    if ballots <= few:
+        held = [(r.field, r.votes, r.n) for r in patterns.collect()]
+        truths, quality = _em(held, rounds, prevalence) if held else ([], {})
+        judged = spark.createDataFrame([(f, v, n, t) for (f, v, n), t in zip(held, truths)], "field string, votes array<string>, n bigint, truth double")
+        known = spark.createDataFrame([(*k, *q) for k, q in quality.items()], "field string, source string, sens double, spec double")
+        joined = facts.join(F.broadcast(judged.drop("n")), ["field", "votes"])  # at most ``few`` rows
+    else:
+        judged, known = _em_spread(patterns, rounds, prevalence)
+        counted = materialize(patterns.join(judged, ["field", "votes"]).select(F.xxhash64("field", "votes").alias("p"), "n", "truth", F.col("field").alias("f"), F.col("votes").alias("v")), "judged")
+        joined = join_counts(facts.withColumn("p", F.xxhash64("field", "votes")), counted, "p", "n").where("field = f AND votes = v")
+    return joined.select("entity", "field", "fact", "truth"), known
+
+
+#: The four respects in which a row may be the best of its group. Each, in each tree, is a source of the field ``survivor``: the
+#: latest time of a tree that copies everything says less than that of one which seldom has it.
 RESPECTS = ("complete", "recent", "trusted", "unmarked")
 
 
-def respect_claims(rows: DataFrame) -> DataFrame:
-    """Each respect asserts the rows of a group that no other row beats in it, and denies the rest."""
+def respect_votes(rows: DataFrame) -> DataFrame:
+    """Of every row of a group, each respect says, as a source of the row's tree, whether no other row beats it."""
     gaps = sum((F.col(c).isNull().cast("int") for c in ("mtime", "ctime", "kind", "content_hash_algo")), F.lit(0))
     at = F.coalesce(F.unix_micros(F.col("mtime").cast("timestamp")), F.lit(-(2**62)))
     scored = rows.select(
         "group_id",
         "scan_row_id",
+        F.coalesce(F.col("tree_id").cast("string"), F.lit("?")).alias("tree"),
         (-gaps).cast("long").alias("complete"),
         at.alias("recent"),
         F.coalesce(F.col("trust"), F.lit(-(2**31))).cast("long").alias("trusted"),
         (~F.coalesce(marked_path(F.col("rel_path")), F.lit(True))).cast("long").alias("unmarked"),
     )
-    best = scored.groupBy("group_id").agg(*(F.max(c).alias(f"best_{c}") for c in RESPECTS))
-    votes = F.array(*(F.struct(F.lit(c).alias("source"), (F.col(c) == F.col(f"best_{c}")).alias("said")) for c in RESPECTS))
-    told = scored.join(best, "group_id").select("group_id", "scan_row_id", F.explode(votes).alias("v"))
-    return told.select(F.col("group_id").alias("entity"), F.lit("survivor").alias("field"), F.col("scan_row_id").cast("string").alias("fact"), "v.source", "v.said")
+    best = scored.groupBy("group_id").agg(F.count("*").alias("n"), *(F.max(c).alias(f"best_{c}") for c in RESPECTS))
+    votes = F.array(*(F.concat(F.lit(f"{c}@"), F.col("tree"), F.when(F.col(c) == F.col(f"best_{c}"), "+").otherwise("-")) for c in RESPECTS))
+    told = join_counts(scored, materialize(best, "best"), "group_id", "n")
+    return told.select(F.col("group_id").alias("entity"), F.lit("survivor").alias("field"), F.col("scan_row_id").cast("string").alias("fact"), votes.alias("votes"))
 
 
 FIELDS = ("mtime", "ctime", "kind", "content_hash_algo", "rel_path")
 
 
-def field_claims(rows: DataFrame) -> DataFrame:
-    """Each tree asserts the values that its rows give for a field of the group, and denies the group's other values."""
+def field_votes(rows: DataFrame) -> DataFrame:
+    """Each tree asserts the values that its rows give for a field of the group, and denies the group's other values.
+
+    The arrays hold trees, never rows. A group of many values is joined to its trees without bringing its values together.
+    """
     values = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("fact")) for c in FIELDS))
-    tree = F.coalesce(F.col("tree_id").cast("string"), F.lit("?"))
-    told = rows.select("group_id", tree.alias("source"), F.explode(values).alias("v")).select(F.col("group_id").alias("entity"), "v.field", "v.fact", "source").distinct()
-    facts = told.where("fact IS NOT NULL").select("entity", "field", "fact").distinct()
-    covers = told.select("entity", "field", "source").distinct()
-    said = told.where("fact IS NOT NULL").withColumn("said", F.lit(True))
-    return facts.join(covers, ["entity", "field"]).join(said, ["entity", "field", "fact", "source"], "left").select("entity", "field", "fact", "source", F.coalesce("said", F.lit(False)).alias("said"))
+    tree = F.concat(F.lit("@"), F.coalesce(F.col("tree_id").cast("string"), F.lit("?")))
+    told = rows.select("group_id", tree.alias("source"), F.explode(values).alias("v")).select(F.col("group_id").alias("entity"), "v.field", "v.fact", "source")
+    said = told.where("fact IS NOT NULL").groupBy("entity", "field", "fact").agg(F.collect_set("source").alias("said"))
+    said = materialize(said.withColumn("about", F.xxhash64("entity", "field")), "said")
+    covers = told.groupBy("entity", "field").agg(F.collect_set("source").alias("covers"))
+    counts = said.groupBy("about").agg(F.count("*").alias("n"))
+    covers = covers.select(F.xxhash64("entity", "field").alias("about"), F.col("entity").alias("e"), F.col("field").alias("f"), "covers").join(counts, "about")
+    votes = F.array_sort(F.transform("covers", lambda x: F.concat(x, F.when(F.array_contains("said", x), "+").otherwise("-"))))
+    joined = join_counts(said, materialize(covers, "covers"), "about", "n").where("entity = e AND field = f")
+    return joined.select("entity", "field", "fact", votes.alias("votes"))
 
 
 def best_rows(rows: DataFrame) -> DataFrame:
     """``group_id, scan_row_id, truth``: the row of each group that the model judges most likely the survivor.
 
-    A row that is at least as good as every other one in all respects is asserted by all four and denied by none, so its
-    truth is the highest. Ties (equal truth) fall to the more respects asserted, then the smaller id.
+    One row of a group survives, so the share of true facts begins at groups to rows. Ties (equal truth) fall to the smaller id.
     """
-    truth, _ = quality_model(respect_claims(rows))
+    n, groups = rows.agg(F.count("*"), F.count_distinct("group_id")).first()
+    truth, _ = quality_model(respect_votes(rows), prevalence=groups / (n + 1) if n else PREVALENCE)
     top = F.max(F.struct("truth", (-F.col("fact").cast("long")).alias("minus_id")))
     return truth.groupBy(F.col("entity").alias("group_id")).agg(top.alias("t")).select("group_id", (-F.col("t.minus_id")).alias("scan_row_id"), F.col("t.truth").alias("truth"))
 
 
-def survivors(groups: DataFrame, catalog: DataFrame, trees: DataFrame) -> DataFrame:
-    """One surviving record per group: the representative row's id and, field by field, the best value.
+def survivors(groups: DataFrame, catalog: DataFrame, trees: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One surviving record per group: the representative row's id and, field by field, the best value; and the group's paths.
 
     ``mtime``, ``ctime``, ``kind`` and ``content_hash_algo`` take the value with the highest truth (ties: the greater value,
-    so the more recent date); ``rel_paths`` keeps every path judged true (truth of 0.5 or more; at least the representative's own).
-    Groups whose files are all missing from the catalog, or null, give no row. A field without any value is null.
+    so the more recent date). A group keeps every path judged true (truth of 0.5 or more; at least the representative's own):
+    ``paths`` counts them, and the second table, ``group_id, rel_path, truth``, has them, one a row, as a group may have any
+    number. Groups whose files are all missing from the catalog, or null, give no row. A field without any value is null.
     """
     rows = materialize(members(groups, catalog, trees), "members")
-    best = best_rows(rows)
-    truth, _ = quality_model(field_claims(rows))
+    best = materialize(best_rows(rows), "best")
+    truth, _ = quality_model(field_votes(rows))
+    truth = materialize(truth.withColumnRenamed("entity", "group_id"), "truth")
+    own = best.select("group_id", "scan_row_id").join(rows.select("group_id", "scan_row_id", "tree_id", "rel_path"), ["group_id", "scan_row_id"])
+    paths = truth.where("field = 'rel_path' AND truth >= 0.5").select("group_id", F.col("fact").alias("rel_path"), "truth")
+    kept = own.where("rel_path IS NOT NULL").select("group_id", "rel_path", F.lit(0.0).alias("truth")).unionByName(paths)
+    kept = kept.groupBy("group_id", "rel_path").agg(F.round(F.max("truth"), 6).alias("truth"))
     pick = {c: F.max(F.when(F.col("field") == c, F.struct("truth", "fact"))).getField("fact").alias(c) for c in FIELDS[:4]}
-    paths = F.array_sort(F.collect_set(F.when((F.col("field") == "rel_path") & (F.col("truth") >= 0.5), F.col("fact")))).alias("paths")
-    fused = truth.groupBy(F.col("entity").alias("group_id")).agg(*pick.values(), paths)
-    own = rows.select("group_id", "scan_row_id", "tree_id", "rel_path")
-    return (
-        best.join(own, ["group_id", "scan_row_id"])
-        .join(fused, "group_id")
+    fused = truth.groupBy("group_id").agg(*pick.values())
+    record = (
+        own.join(best.select("group_id", "truth"), "group_id")
+        .join(fused, "group_id", "left")
+        .join(kept.groupBy("group_id").agg(F.count("*").alias("paths")), "group_id", "left")
         .select(
             "group_id",
             "scan_row_id",
@@ -186,7 +264,8 @@ def survivors(groups: DataFrame, catalog: DataFrame, trees: DataFrame) -> DataFr
             F.col("ctime").cast("timestamp_ntz").alias("ctime"),
             "kind",
             "content_hash_algo",
-            F.array_sort(F.array_union("paths", F.array("rel_path"))).alias("rel_paths"),
+            F.coalesce("paths", F.lit(0)).alias("paths"),
             F.round("truth", 6).alias("truth"),
         )
     )
+    return record, kept

@@ -60,11 +60,27 @@ def test_survivors(spark):
     catalog = spark.createDataFrame(data, CATALOG)
     trees = spark.createDataFrame([(1, 5), (2, 3)], "tree_id int, trust int")
     groups = spark.createDataFrame([(10, [3, 2, 1, 1]), (11, [5, 4]), (12, [77]), (13, None), (14, [])], "group_id bigint, files array<bigint>")
-    got = {r.group_id: r for r in survivors.survivors(groups, catalog, trees).collect()}
+    record, paths = survivors.survivors(groups, catalog, trees)
+    got = {r.group_id: r for r in record.collect()}
     assert set(got) == {10, 11} and got[10].scan_row_id == 1 and got[11].scan_row_id == 4
-    assert got[10].mtime == t(2020) and got[10].kind == "txt" and "a/x.txt" in got[10].rel_paths
-    assert got[11].mtime is None
-    assert survivors.survivors(groups.where("false"), catalog, trees).count() == 0
+    assert got[10].mtime == t(2020) and got[10].kind == "txt" and got[11].mtime is None
+    kept = [(r.group_id, r.rel_path) for r in paths.collect()]
+    assert (10, "a/x.txt") in kept and (11, "y") in kept and Counter(g for g, _ in kept) == {g: r.paths for g, r in got.items()}
+    assert survivors.survivors(groups.where("false"), catalog, trees)[0].count() == 0
+
+
+def test_survivor_of_a_hot_group(spark):
+    """One group holds most rows; its best row is the only one without a copy's mark."""
+    n = 3000
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("group_id"), F.col("id").alias("scan_row_id"), (F.col("id") % 40).cast("int").alias("tree_id"),
+        F.concat(F.when((F.col("id") == 7) | (F.col("id") % 10 == 0), "").otherwise("old/"), F.col("id").cast("string")).alias("rel_path"), F.lit(1).alias("trust"),
+        *(F.lit("2020-01-01").cast("timestamp_ntz").alias(c) for c in ("mtime", "ctime")), F.lit("txt").alias("kind"), F.lit("sha1").alias("content_hash_algo"),
+    )
+    got = {r.group_id: r.scan_row_id for r in survivors.best_rows(rows).collect()}
+    assert got == {-1: 7} | {i: i for i in range(0, n, 10)}
+    votes = survivors.field_votes(rows).where("entity = -1 AND field = 'rel_path'")
+    assert votes.count() == n * 9 // 10 and votes.where("size(votes) > 40").count() == 0
 
 
 def test_marks(spark):
@@ -74,13 +90,22 @@ def test_marks(spark):
     assert {r.p for r in df.collect() if r.m} == set(marked)
 
 
-def test_quality_model_keeps_several_truths_and_finds_the_liar(spark):
-    claims = [(e, "f", f"v{v}", s, v == 0 if s != "bad" else v == 1) for e in range(30) for v in range(2) for s in ("a", "b", "c", "bad")]
-    claims += [(99, "f", v, s, True) for v in ("x", "y") for s in ("a", "b", "c")]
-    truth, quality = survivors.quality_model(spark.createDataFrame(claims, "entity int, field string, fact string, source string, said boolean"))
+@pytest.mark.parametrize("few", [survivors.FEW, 0])
+def test_quality_model_keeps_several_truths_and_finds_the_liar(spark, few):
+    """On the driver and in Spark. Two of three who speak of ``q`` lie, as their record tells: votes alone would judge otherwise."""
+    bad = ("x@1", "x@2")
+    claims = [(e, "f", f"v{v}", s, (v == 0) != (s in bad)) for e in range(60) for v in range(2) for s in ("x@3", "x@4", "x@5", *bad)]
+    claims += [(99, "f", v, s, True) for v in ("x", "y") for s in ("x@3", "x@4", "x@5")]
+    claims += [(98, "f", v, s, (v == "q") == (s in bad)) for v in ("p", "q") for s in ("x@3", *bad)]
+    facts = survivors.votes_of(spark.createDataFrame(claims, "entity int, field string, fact string, source string, said boolean"))
+    truth, quality = survivors.quality_model(facts, few=few)
     by = {(r.entity, r.fact): r.truth for r in truth.collect()}
     assert by[0, "v0"] > 0.9 > 0.1 > by[0, "v1"] and by[99, "x"] > 0.9 and by[99, "y"] > 0.9
-    assert quality["f", "a"][1] > quality["f", "bad"][1]
+    assert by[98, "p"] > 0.9 > 0.1 > by[98, "q"]
+    of = {r.source: (r.sens, r.spec) for r in quality.collect()}
+    assert of["x@3"][0] > 0.9 > 0.3 > of["x@1"][0] and of["x@3"][1] > of["x@1"][1]
+    empty = survivors.quality_model(facts.where("false"), few=few)
+    assert empty[0].count() == empty[1].count() == 0
 
 
 # -- 2: encodings ------------------------------------------------------------------------------------------------------------------------

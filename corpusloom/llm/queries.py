@@ -33,7 +33,7 @@ def p1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import survivors as S
 
     rows = materialize(S.members(table(spark, sf_dir, "dup_groups"), table(spark, sf_dir, "file_catalog"), table(spark, sf_dir, "scan_trees")), "members")
-    return S.quality_model(S.respect_votes(rows))[1].drop("field")
+    return S.survivor_model(S.respect_votes(rows))[1]
 
 
 def _profile(spark: SparkSession, sf_dir: str, purpose: str):

@@ -9,8 +9,10 @@ Spark, by the same steps; neither limits anything.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.skew import join_counts
@@ -72,8 +74,15 @@ def _kind(source: str) -> str:
     return source.split("@")[0]
 
 
-def _em(patterns: list[tuple[str, list[str], int]], rounds: int, prevalence: float) -> tuple[list[float], dict[tuple[str, str], tuple[float, float]]]:
-    """Truth of every pattern ``(field, votes, n)`` and quality of every (field, source)."""
+Rivalry = Callable[[np.ndarray], np.ndarray]
+
+
+def _em(patterns: list[tuple[str, list[str], int]], rounds: int, prevalence: float, rivalry: Rivalry | None = None) -> tuple[np.ndarray, np.ndarray, dict[tuple[str, str], tuple[float, float]]]:
+    """Truth and log-odds of every pattern ``(field, votes, n)`` and quality of every (field, source).
+
+    Facts are judged each by itself, or, with ``rivalry``, as it shares the truth of an entity out among them (from log-odds of
+    the patterns to their mean truth).
+    """
     at = {}
     rows, cols, said = [], [], []
     for i, (field, votes, _) in enumerate(patterns):
@@ -90,11 +99,13 @@ def _em(patterns: list[tuple[str, list[str], int]], rounds: int, prevalence: flo
     sens = np.full(len(at), SENSITIVITY[0] / sum(SENSITIVITY))
     spec = np.full(len(at), SPECIFICITY[0] / sum(SPECIFICITY))
     share = np.full(len(fields), prevalence)
-    truth = np.zeros(len(n))
+    truth = odds = np.zeros(len(n))
     for i in range(rounds + 1):
         weight = np.where(said, np.log(sens / (1 - spec))[cols], np.log((1 - sens) / spec)[cols])
         odds = np.log(share / (1 - share))[of] + np.bincount(rows, weight, len(n))
-        truth = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        if i == rounds and rivalry is not None:
+            break
+        truth = rivalry(odds) if rivalry is not None else 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
         if i == rounds:
             break
         t, f = (truth * n)[rows], ((1 - truth) * n)[rows]
@@ -108,7 +119,7 @@ def _em(patterns: list[tuple[str, list[str], int]], rounds: int, prevalence: flo
         sens, spec = quality(tp, fn, SENSITIVITY), quality(tn, fp, SPECIFICITY)
         true, every = np.bincount(of, truth * n, len(fields)), np.bincount(of, n, len(fields))
         share = np.clip((true + prevalence) / (every + 1), _LEAST, 1 - _LEAST)
-    return truth.tolist(), {key: (float(sens[j]), float(spec[j])) for key, j in at.items()}
+    return truth, odds, {key: (float(sens[j]), float(spec[j])) for key, j in at.items()}
 
 
 def _em_spread(patterns: DataFrame, rounds: int, prevalence: float) -> tuple[DataFrame, DataFrame]:
@@ -166,8 +177,8 @@ def quality_model(facts: DataFrame, rounds: int = 5, prevalence: float = PREVALE
     ballots = patterns.agg(F.coalesce(F.sum(F.size("votes")), F.lit(0))).first()[0]
     if ballots <= few:
         held = [(r.field, r.votes, r.n) for r in patterns.collect()]
-        truths, quality = _em(held, rounds, prevalence) if held else ([], {})
-        judged = spark.createDataFrame([(f, v, n, t) for (f, v, n), t in zip(held, truths)], "field string, votes array<string>, n bigint, truth double")
+        truths, _, quality = _em(held, rounds, prevalence) if held else (np.zeros(0), None, {})
+        judged = spark.createDataFrame([(f, v, n, t) for (f, v, n), t in zip(held, truths.tolist())], "field string, votes array<string>, n bigint, truth double")
         known = spark.createDataFrame([(*k, *q) for k, q in quality.items()], "field string, source string, sens double, spec double")
         joined = facts.join(F.broadcast(judged.drop("n")), ["field", "votes"])  # at most ``few`` rows
     else:
@@ -222,15 +233,41 @@ def field_votes(rows: DataFrame) -> DataFrame:
     return joined.select("entity", "field", "fact", votes.alias("votes"))
 
 
-def best_rows(rows: DataFrame) -> DataFrame:
-    """``group_id, scan_row_id, truth``: the row of each group that the model judges most likely the survivor.
+def survivor_model(facts: DataFrame, rounds: int = 5) -> tuple[DataFrame, DataFrame]:
+    """``entity, fact, odds, truth`` of the likeliest fact of every entity, of which just one is true, and ``source, sens, spec``.
 
-    One row of a group survives, so the share of true facts begins at groups to rows. Ties (equal truth) fall to the smaller id.
+    As ``quality_model``, but the facts of an entity share its truth. Ties fall to the smaller fact, a number. The patterns of
+    the respects, at most 16 a tree, are held on the driver; an entity comes together only as counts of its patterns.
     """
-    n, groups = rows.agg(F.count("*"), F.count_distinct("group_id")).first()
-    truth, _ = quality_model(respect_votes(rows), prevalence=groups / (n + 1) if n else PREVALENCE)
-    top = F.max(F.struct("truth", (-F.col("fact").cast("long")).alias("minus_id")))
-    return truth.groupBy(F.col("entity").alias("group_id")).agg(top.alias("t")).select("group_id", (-F.col("t.minus_id")).alias("scan_row_id"), F.col("t.truth").alias("truth"))
+    spark = facts.sparkSession
+    facts = materialize(facts.select("entity", "fact", "votes"), "facts")
+    held = facts.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()
+    number = spark.createDataFrame([(r.votes, i) for i, r in enumerate(held)], "votes array<string>, p int")
+    groups = materialize(facts.join(F.broadcast(number), "votes").groupBy("entity", "p").agg(F.count("*").alias("m")), "groups")  # 16 rows a tree
+    n = np.array([r.n for r in held], np.float64)
+
+    def rivalry(odds: np.ndarray) -> np.ndarray:
+        known = spark.createDataFrame(list(enumerate((odds - odds.max()).tolist())), "p int, w double")
+        likely = F.col("m") * F.exp("w")
+        share = likely / F.sum(likely).over(Window.partitionBy("entity"))
+        rows = groups.join(F.broadcast(known), "p").select("p", share.alias("share")).groupBy("p").agg(F.sum("share")).collect()  # 16 a tree
+        out = np.zeros(len(n))
+        for p, x in rows:
+            out[p] = x
+        return out / n
+
+    _, odds, quality = _em([("survivor", r.votes, r.n) for r in held], rounds, 0.5, rivalry) if held else (None, np.zeros(0), {})
+    judged = spark.createDataFrame([(r.votes, w) for r, w in zip(held, (odds - odds.max(initial=-1e9)).tolist())], "votes array<string>, odds double")
+    top = F.max(F.struct("odds", (-F.col("fact").cast("long")).alias("minus"))).alias("t")
+    best = facts.join(F.broadcast(judged), "votes").groupBy("entity").agg(top, F.sum(F.exp("odds")).alias("all"))
+    best = best.select("entity", (-F.col("t.minus")).alias("fact"), F.col("t.odds").alias("odds"), (F.exp("t.odds") / F.col("all")).alias("truth"))
+    return best, spark.createDataFrame([(s, *q) for (_, s), q in quality.items()], "source string, sens double, spec double")
+
+
+def best_rows(rows: DataFrame) -> DataFrame:
+    """``group_id, scan_row_id, truth``: the row of each group that the model judges most likely the survivor."""
+    best, _ = survivor_model(respect_votes(rows))
+    return best.select(F.col("entity").alias("group_id"), F.col("fact").alias("scan_row_id"), "truth")
 
 
 def survivors(groups: DataFrame, catalog: DataFrame, trees: DataFrame) -> tuple[DataFrame, DataFrame]:

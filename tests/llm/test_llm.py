@@ -90,6 +90,19 @@ def test_marks(spark):
     assert {r.p for r in df.collect() if r.m} == set(marked)
 
 
+def test_survivor_model_weighs_sources_by_their_record(spark):
+    """Tree 2 marks whatever it holds as recent; tree 1 does so for true survivors alone. Where both do, tree 1 is believed."""
+    facts = [(e, str(10 * e + k), [f"complete@{t}{'+' if k == 0 else '-'}", f"recent@{t}{'+' if t == 2 or k == 0 else '-'}"]) for e in range(200) for k, t in ((0, 1), (1, 2), (2, 1), (3, 2))]
+    facts += [(900, "9001", ["complete@2-", "recent@2+"]), (900, "9002", ["complete@1-", "recent@1+"]), (901, "9011", ["complete@1-", "recent@1-"])]
+    best, quality = survivors.survivor_model(spark.createDataFrame(facts, "entity int, fact string, votes array<string>"))
+    got = {r.entity: r for r in best.collect()}
+    assert all(got[e].fact == 10 * e for e in range(200)) and got[900].fact == 9002 and got[901].truth == 1
+    of = {r.source: r for r in quality.collect()}
+    assert of["recent@1"].spec > 0.9 > 0.2 > of["recent@2"].spec
+    none, nothing = survivors.survivor_model(spark.createDataFrame([], "entity int, fact string, votes array<string>"))
+    assert none.count() == nothing.count() == 0
+
+
 @pytest.mark.parametrize("few", [survivors.FEW, 0])
 def test_quality_model_keeps_several_truths_and_finds_the_liar(spark, few):
     """On the driver and in Spark. Two of three who speak of ``q`` lie, as their record tells: votes alone would judge otherwise."""

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -75,7 +76,7 @@ def _decode(raw: bytes, right: str, run: str) -> str | None:
         new = raw.decode(right)
     except UnicodeError:
         return None
-    return None if new == run or _CONTROL.search(new) else new
+    return None if new == run else new
 
 
 def invert(run: str, wrong: str, right: str) -> str | None:
@@ -87,20 +88,39 @@ def invert(run: str, wrong: str, right: str) -> str | None:
     return _decode(raw, right, run)
 
 
+def _reference(m: re.Match) -> str:
+    """The character beyond ASCII that a numeric reference names, else the reference."""
+    code = int(m[1], 16) if m[1] else int(m[2])
+    return chr(code) if 127 < code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
+
+
 def unescaped(text: str) -> str:
     """The text with numeric character references beyond ASCII as characters: wrongly decoded text is often escaped afterwards."""
+    return _ENTITY.sub(_reference, text) if "&#" in text else text
 
-    def char(m: re.Match) -> str:
-        code = int(m[1], 16) if m[1] else int(m[2])
-        return chr(code) if 127 < code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
 
-    return _ENTITY.sub(char, text) if "&#" in text else text
+def with_references(text: str) -> tuple[str, dict[int, str]]:
+    """``unescaped``, and where in it which references stood, so that those outside of wrongly decoded runs can be put back."""
+    if "&#" not in text:
+        return text, {}
+    parts, stood, at, n = [], {}, 0, 0
+    for m in _ENTITY.finditer(text):
+        if len(char := _reference(m)) == 1:
+            n += m.start() - at
+            stood[n] = m[0]
+            parts += [text[at : m.start()], char]
+            at, n = m.end(), n + 1
+    return "".join([*parts, text[at:]]), stood
 
 
 def _again(once: str | None, mistake: tuple[str, str]) -> list[str]:
-    """What a mistake undone once gave, and also undone twice where UTF-8 was wrongly decoded again and again."""
-    twice = invert(once, *mistake) if once is not None and mistake[1] == "utf-8" and not once.isascii() else None
-    return [x for x in (once, twice) if x is not None]
+    """What a mistake undone once gave, and, where UTF-8 was wrongly decoded again and again, what it gives undone ever again."""
+    found = []
+    while once is not None:
+        if not _CONTROL.search(once):  # control characters stand in what is garbled several times, but in no text
+            found.append(once)
+        once = invert(once, *mistake) if mistake[1] == "utf-8" and not once.isascii() else None
+    return found
 
 
 def all_undone(run: str) -> list[tuple[tuple[str, str], str]]:
@@ -217,8 +237,11 @@ class Verdict:
 
 
 def examine(text: str, scorer: Scorer) -> Verdict:
-    """Find and undo wrong decoding in a text. Runs that stand only in quotation marks are examples, and no case."""
-    text = unescaped(text)
+    """Find and undo wrong decoding in a text. Runs that stand only in quotation marks are examples, and no case.
+
+    Character references are read as the characters they name; those outside of the runs that are undone stay references.
+    """
+    text, stood = with_references(text)
     if text.isascii() or len(text) < 2:
         return Verdict(text, False, 0, 0, [])
     quoted = [(m.start(), m.end()) for m in _QUOTED.finditer(text)]
@@ -226,12 +249,13 @@ def examine(text: str, scorer: Scorer) -> Verdict:
     out, mistakes = text, []
     known: list[tuple[str, str]] = []
     restored = lost = outside = 0
-    for layer in range(4):  # a text can be wrongly decoded several times over
+    for layer in count():  # a text can be wrongly decoded any number of times over; every round makes it less improbable
         codes = _codes(out)
         # Once a mistake is known, what is left of it is undone on less evidence; quoted examples stay.
         sure = known if layer else []
         runs = suspect_runs(codes, scorer, 0.2 if sure else s.gain, 0.0 if sure else s.suspect)
         parts, at, changed = [], 0, 0
+        edits: list[tuple[int, int, int]] = []
         usual: tuple[str, str] | None = None
         for a, b in runs:
             if a < at:
@@ -251,6 +275,7 @@ def examine(text: str, scorer: Scorer) -> Verdict:
             if mistake not in known:
                 known.append(mistake)
             parts += [out[at:a], new]
+            edits.append((a, b, len(new)))
             at, changed = b, changed + 1
             name = f"{mistake[1]} as {mistake[0]}"
             if name not in mistakes:
@@ -259,14 +284,32 @@ def examine(text: str, scorer: Scorer) -> Verdict:
             break
         restored += changed
         out = "".join([*parts, out[at:]])
+        stood = _moved(stood, edits)
     for m in re.finditer(f"{_LOST}+", text):
         a, b = m.span()
         lost += 1
         outside += not any(x < a and b < y for x, y in quoted)
     lost += out.count(_LOST) > text.count(_LOST)
+    if stood:
+        ends = sorted(stood)
+        out = "".join(out[x + 1 : y] + stood.get(y, "") for x, y in zip([-1, *ends], [*ends, len(out)]))
     return Verdict(out, outside > 0, restored, lost, mistakes)
 
 
+def _moved(stood: dict[int, str], edits: list[tuple[int, int, int]]) -> dict[int, str]:
+    """Where references stand after ``edits`` (from, to, new length), in order; those inside an edit are gone."""
+    if not stood:
+        return stood
+    kept, shift, i = {}, 0, 0
+    for at in sorted(stood):
+        while i < len(edits) and edits[i][1] <= at:
+            shift += edits[i][2] - (edits[i][1] - edits[i][0])
+            i += 1
+        if i == len(edits) or at < edits[i][0]:
+            kept[at + shift] = stood[at]
+    return kept
+
+
 _WIDE = {"gb18030", "big5", "shift_jis", "euc_kr"}
 
 

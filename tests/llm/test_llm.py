@@ -149,6 +149,18 @@ def test_wrong_encodings_escaped_into_ascii(spark):
     assert got == {1000: GERMAN[0], 1001: GERMAN[1], 1002: GERMAN[2], 1010: GERMAN[0]}
 
 
+def test_references_outside_of_garbled_runs_stay(spark):
+    garbled = "".join(c if c.isascii() else f"&#{ord(c)};" for c in GERMAN[0].encode().decode("cp1252"))
+    deep = GERMAN[1]
+    for _ in range(6):
+        deep = deep.encode().decode("latin-1")
+    texts = [f"costs &#8364;5 and &#8212; stays. {garbled} Then &#8364;7.", deep, "plain &#8364;5", f"K&#252;hler {GERMAN[2]} {GERMAN[0].encode().decode('cp1252')}"]
+    df = spark.createDataFrame([(i, GERMAN[i % 3] + f" Nummer {i}.") for i in range(300)] + [(1000 + i, t) for i, t in enumerate(texts)], "id bigint, t string")
+    got = {r.id: r.restored_text for r in encoding.repair(df, "id", "t").collect()}
+    assert got == {1000: f"costs &#8364;5 and &#8212; stays. {GERMAN[0]} Then &#8364;7.", 1001: GERMAN[1], 1003: f"K&#252;hler {GERMAN[2]} {GERMAN[0]}"}
+    assert encoding.with_references("a&#228;b&#x26;&#xE9;") == ("aäb&#x26;é", {1: "&#228;", 9: "&#xE9;"})
+
+
 # -- 6: splitting --------------------------------------------------------------------------------------------------------------------------------
 
 

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.prefix import running_sums
 from corpusloom.session import materialize
 
-MAX_PATTERNS = 1 << 12
+#: Membership patterns that the flow is solved over; texts of rarer ones count for one of their sources, see ``few_patterns``.
+PATTERNS = 1 << 12
 
 
 def source_name(source: Column) -> Column:
@@ -109,7 +110,28 @@ def route(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float,
     return solve(low)[1]
 
 
-def mix(counted: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def few_patterns(texts: DataFrame, most: int) -> tuple[DataFrame, dict[tuple[str, ...], int]]:
+    """``texts(pattern, members, tokens)`` with at most ``most`` patterns of several sources, and the tokens of each pattern.
+
+    The patterns with the most tokens stay. A text of a rarer one is a member only of the source of its pattern that has the
+    fewest tokens, where it is needed most: every text stays in the flow, only its choice of sources is narrowed.
+    """
+    sums = materialize(texts.groupBy("pattern").agg(F.sum("tokens").alias("n")), "patterns")
+    if sums.count() > most:
+        kept = sums.orderBy(F.desc("n"), "pattern").limit(most).select("pattern")
+        rare = sums.join(F.broadcast(kept), "pattern", "left_anti").where("pattern LIKE '%|%'").select("pattern")
+        sizes = sums.select(F.explode(F.split("pattern", "[|]")).alias("source"), "n").groupBy("source").agg(F.sum("n").alias("n"))
+        each = rare.select("pattern", F.explode(F.split("pattern", "[|]")).alias("source")).join(F.broadcast(sizes), "source")  # a row a source
+        only = each.groupBy("pattern").agg(F.min(F.struct("n", "source")).getField("source").alias("only"))
+        texts = texts.join(only, "pattern", "left").withColumns(
+            {"pattern": F.coalesce("only", "pattern"), "members": F.when(F.col("only").isNull(), F.col("members")).otherwise(F.filter("members", lambda m: m["source"] == F.col("only")))}
+        )
+        texts = materialize(texts.drop("only"), "texts")
+        sums = texts.groupBy("pattern").agg(F.sum("tokens").alias("n"))
+    return texts, {tuple(r.pattern.split("|")): r.n for r in sums.collect()}  # at most ``most`` patterns and one a source
+
+
+def mix(counted: DataFrame, targets: DataFrame, patterns: int = PATTERNS) -> tuple[DataFrame, DataFrame]:
     """The selection ``doc_id, source, tokens, uses`` and the report ``source, target_share, actual_share, tokens, documents, most_uses``.
 
     ``counted(doc_id, source, h, tokens)`` has the documents with the hash of their text. Documents without a target, and
@@ -128,10 +150,7 @@ def mix(counted: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min("doc_id").alias("first"),
     )
     texts = materialize(texts.withColumn("pattern", F.array_join("members.source", "|")), "texts")
-    sizes = texts.groupBy("pattern").agg(F.sum("tokens").alias("n")).limit(MAX_PATTERNS + 1).collect()
-    if len(sizes) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    tokens = {tuple(r.pattern.split("|")): r.n for r in sizes}
+    texts, tokens = few_patterns(texts, patterns)
     flows = route(tokens, wanted)
     # The sources of a pattern take stretches of its seeded order, one after the other, around and around.
     stretches, at = [], {}
@@ -147,12 +166,12 @@ def mix(counted: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = F.element_at(F.filter("members", lambda m: m["source"] == F.col("source")), 1)["doc_id"]
     selection = materialize(chosen.select(own.alias("doc_id"), "source", "tokens", "uses"), "selection")
     sums = selection.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("tokens"), F.count("*").alias("documents"), F.max("uses").alias("most_uses"))
-    total = selection.agg(F.sum(F.col("tokens") * F.col("uses"))).first()[0] or 1
+    total = F.sum("tokens").over(Window.partitionBy())  # over one row a source
     goals = spark.createDataFrame([(s, t[0]) for s, t in wanted.items()], "source string, target_share double")
     report = goals.join(sums, "source", "left").select(
         "source",
         "target_share",
-        F.round(F.coalesce("tokens", F.lit(0)) / F.lit(float(total)), 6).alias("actual_share"),
+        F.round(F.coalesce(F.coalesce("tokens", F.lit(0)) / total, F.lit(0.0)), 6).alias("actual_share"),
         F.coalesce("tokens", F.lit(0)).alias("tokens"),
         F.coalesce("documents", F.lit(0)).alias("documents"),
         F.coalesce("most_uses", F.lit(0)).alias("most_uses"),

@@ -85,10 +85,11 @@ def _packer(capacity: int, prefix: str, last: bool):
 
 
 def pack(df: DataFrame, item: str, size: str, source: str, capacity: int, targets: dict[str, float] | None = None) -> DataFrame:
-    """``container, item, part, byte_start, byte_end`` of every row of ``df`` (``item`` is a unique bigint).
+    """``container, window, queue, item, part, byte_start, byte_end`` of every row of ``df`` (``item`` is a unique bigint).
 
     An item over ``capacity`` fills containers of its own and leaves its rest to be packed; no other is divided. Null or
     negative sizes count as 0; an empty item lies in one container as a part of no bytes. A null source is a queue of its own.
+    ``window`` is the one that served the item; it may lie in a container that was closed later (``window_shares`` reports both).
     ``targets`` are the sources' shares of a window; by default each source's share of all bytes, so that every window
     mirrors the whole. Sources without a target are served as if by their own share.
     """
@@ -103,9 +104,11 @@ def pack(df: DataFrame, item: str, size: str, source: str, capacity: int, target
     rows = rows.withColumn("whole", F.when(F.col("size") > capacity, F.floor(F.col("size") / capacity)).otherwise(0).cast("bigint"))
     rows = rows.withColumn("rest", F.col("size") - F.col("whole") * capacity)
     rows = materialize(rows, "items")
-    alone = rows.where("whole > 0").select("item", F.explode(F.sequence(F.lit(1), F.col("whole"))).alias("part"))
+    alone = rows.where("whole > 0").select("item", "queue", F.explode(F.sequence(F.lit(1), F.col("whole"))).alias("part"))
     alone = alone.select(
         F.concat(F.lit("w"), F.col("item"), F.lit("."), F.col("part")).alias("container"),
+        F.lit(None).cast("bigint").alias("window"),
+        "queue",
         "item",
         F.col("part").cast("int").alias("part"),
         ((F.col("part") - 1) * capacity).alias("byte_start"),
@@ -122,6 +125,7 @@ def pack(df: DataFrame, item: str, size: str, source: str, capacity: int, target
     quantum = shares.select("queue", F.greatest(share * float(WINDOW * capacity), F.lit(1.0)).alias("quantum"))
     placed = running_sums(loose.select("item", "queue", "rest"), "queue", "rest", "item")
     served = placed.join(quantum, "queue").withColumn("window", F.greatest(F.ceil((F.col("start") + F.col("rest")) / F.col("quantum")) - 1, F.lit(0)).cast("bigint"))
+    served = materialize(served.select("item", "queue", "window", "rest"), "served")
     schema = "container string, item bigint, bytes bigint"
     ready = served.select("window", "item", "rest").repartition(F.floor(F.col("window") / TOGETHER)).sortWithinPartitions("window", "item")
     first = materialize(ready.mapInArrow(_packer(capacity, "m", False), schema), "packed")
@@ -133,11 +137,14 @@ def pack(df: DataFrame, item: str, size: str, source: str, capacity: int, target
         again = over.select(F.lit(0).cast("bigint").alias("window"), "item", "bytes").repartition(tasks, "item").sortWithinPartitions("item")
         again = materialize(again.mapInArrow(_packer(capacity, f"c{level}-", False), schema), "packed")
         packed, over, level = packed.unionByName(again.where("container IS NOT NULL")), again.where("container IS NULL"), level + 1
-    rest = over.select(F.lit(0).cast("bigint").alias("window"), "item", "bytes").coalesce(1).sortWithinPartitions("item")
+    rest = over.select(F.lit(0).cast("bigint").alias("window"), "item", "bytes").repartition(1).sortWithinPartitions("item")  # less than a window a task
     packed = packed.unionByName(rest.mapInArrow(_packer(capacity, "r", True), schema))
-    ends = packed.join(rows.where("whole > 0").select("item", "whole"), "item", "left").withColumn("whole", F.coalesce("whole", F.lit(0)))
+    ends = packed.join(served.select("item", "queue", "window"), "item").join(rows.where("whole > 0").select("item", "whole"), "item", "left")
+    ends = ends.withColumn("whole", F.coalesce("whole", F.lit(0)))
     mixed = ends.select(
         "container",
+        "window",
+        "queue",
         "item",
         (F.col("whole") + 1).cast("int").alias("part"),
         (F.col("whole") * capacity).alias("byte_start"),
@@ -146,6 +153,25 @@ def pack(df: DataFrame, item: str, size: str, source: str, capacity: int, target
     return mixed.unionByName(alone)
 
 
+def window_shares(packed: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """``window, queue, bytes, share, target``: what each queue has of the bytes served in each window, against its target (its
+    share of all bytes, where ``targets`` gives none). A window lacks what its queues had no fitting item for; the next one makes
+    up for it. Containers that a single item fills belong to no window."""
+    spark = packed.sparkSession
+    each = packed.where("window IS NOT NULL").groupBy("window", "queue").agg(F.sum(F.col("byte_end") - F.col("byte_start")).alias("bytes"))
+    each = materialize(each, "windows")
+    whole = each.groupBy("window").agg(F.sum("bytes").alias("all"))
+    own = each.groupBy("queue").agg(F.sum("bytes").alias("own"))
+    total = own.agg(F.sum("own")).first()[0] or 1
+    target = F.col("own") / F.lit(float(total))
+    if targets:
+        given = spark.createDataFrame([(k, float(v)) for k, v in targets.items()], "queue string, given double")
+        own, target = own.join(given, "queue", "left"), F.coalesce("given", target)
+    share = F.when(F.col("all") > 0, F.col("bytes") / F.col("all")).otherwise(0.0)
+    joined = each.join(whole, "window").join(own.select("queue", target.alias("target")), "queue")
+    return joined.select("window", "queue", "bytes", F.round(share, 6).alias("share"), F.round("target", 6).alias("target"))
+
+
 def piece_sizes(pieces: DataFrame) -> DataFrame:
     """``item, size, queue``: the true bytes of each piece (its slice of the spool file, else its inline text) and its queue, by
     the file's extension; inline pieces are a queue of their own. A slice that ends before it begins counts as empty."""

@@ -141,6 +141,13 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_pack(spark, sf_dir).groupBy("container").agg(F.sum(F.col("byte_end") - F.col("byte_start")).alias("used_bytes"), F.count("*").alias("parts"))
 
 
+def p7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of each queue in each window of the packed pieces, against its target."""
+    from corpusloom.llm.packing import window_shares
+
+    return window_shares(p7_pack(spark, sf_dir))
+
+
 def _p9(spark: SparkSession, sf_dir: str):
     from corpusloom.llm.mixing import mix
     from corpusloom.llm.tokens import encode_corpus
@@ -158,7 +165,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p9(spark, sf_dir)[1]
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p1_quality": p1_quality, "p1_paths": p1_paths, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p3_found": p3_found, "p3_classes": p3_classes, "p2_restored": p2_restored, "p2_found": p2_found, "p4_repaired": p4_repaired, "p4_found": p4_found, "p10_residue": p10_residue, "p10_found": p10_found, "p10_kept": p10_kept, "p7_pack": p7_pack, "p7_files": p7_files, "p7_fill": p7_fill, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p1_quality": p1_quality, "p1_paths": p1_paths, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p3_found": p3_found, "p3_classes": p3_classes, "p2_restored": p2_restored, "p2_found": p2_found, "p4_repaired": p4_repaired, "p4_found": p4_found, "p10_residue": p10_residue, "p10_found": p10_found, "p10_kept": p10_kept, "p7_pack": p7_pack, "p7_files": p7_files, "p7_fill": p7_fill, "p7_windows": p7_windows, "p9_mix": p9_mix, "p9_shares": p9_shares}
 _MARKED = (
     r"(regexp_matches(regexp_extract(replace(rel_path, '\', '/'), '[^/]*$'), '(?i)^copy of | - (copy|kopie)(\.[a-z0-9]{1,5})?$| 副本(\.[a-z0-9]{1,5})?$| \(\d{1,3}\)(\.[a-z0-9]{1,5})?$|_old(\.[a-z0-9]{1,5})?$|\.bak$|~$')"
     r" OR regexp_matches(replace(rel_path, '\', '/'), '(^|/)(old|\.trash|tmp|backup)/'))"

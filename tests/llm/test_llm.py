@@ -230,6 +230,18 @@ def test_windows_hold_the_proportions(spark):
     assert abs(np.mean(share) - 0.25) < 0.02 and max(share) < 0.5
 
 
+def test_windows_are_reported(spark):
+    n = packing.WINDOW * 40
+    df = spark.createDataFrame([(i, 50, "a" if i % 4 else "b") for i in range(n)] + [(n, 1000, "b")], "i bigint, n bigint, s string")
+    packed = packing.pack(df, "i", "n", "s", 100, {"a": 0.6, "b": 0.4})
+    assert packed.where("window IS NULL").count() == 10
+    got = packing.window_shares(packed, {"a": 0.6, "b": 0.4}).collect()
+    assert sum(r.bytes for r in got) == 50 * n
+    # As long as both queues have items, each window but the first mirrors the targets.
+    full = {r.window for r in got if r.queue == "b"}
+    assert all(abs(r.share - r.target) < 0.02 for r in got if 0 < r.window < max(full)) and len(full) > 5
+
+
 def test_piece_sizes(spark):
     df = spark.createDataFrame([(1, None, 5, 9, "a.TXT", 99), (2, "é", None, None, None, -1), (3, None, None, None, None, None), (4, "x", 9, 5, "b", 3)], "piece_id bigint, inline_text string, byte_start bigint, byte_end bigint, rel_path string, bytes_len bigint")
     assert rows(packing.piece_sizes(df)) == [(1, 4, "txt"), (2, 2, "inline"), (3, 0, "inline"), (4, 0, "")]
@@ -303,5 +315,9 @@ def test_mix(spark):
     assert len({(r.doc_id) for r in chosen}) == len(chosen) and all(1 <= r.uses <= caps[r.source] for r in chosen)
     shares = {r.source: r.actual_share for r in report.collect()}
     assert shares["nothing"] == 0 and all(abs(shares[s] - x / 0.9) < 0.01 for s, x in (("big", 0.5), ("small", 0.3), ("both_a", 0.1)))
+    narrow, report = mixing.mix(counted, targets, patterns=1)
+    assert all(1 <= r.uses <= caps[r.source] for r in narrow.collect())
+    shares = {r.source: r.actual_share for r in report.collect()}
+    assert all(abs(shares[s] - x / 0.9) < 0.02 for s, x in (("big", 0.5), ("small", 0.3), ("both_a", 0.1)))
     nothing, report = mixing.mix(counted.where("false"), targets)
     assert nothing.count() == 0 and {r.actual_share for r in report.collect()} == {0.0}

@@ -1,20 +1,22 @@
 """Processing only new or changed records.
 
 A record is a file (``tree_id`` and canonical ``rel_path``), its version is ``mtime``; null is a version of its own.
-The next run rereads the catalog from the oldest transaction still open at the last run (a saved low watermark on
-``loaded_at``, from the oldest run open or not kept) and anti-joins (key, version) pairs against the ledger of processed versions, so that the overlap of two
-reads is removed and neither a failure nor a late row skips or repeats a version.
+A run commits its state to the shared storage: the time of the oldest transaction still open, and the files that are still
+pending. The next run rereads what was loaded since that time, takes the pending files along, and anti-joins (key, version) pairs
+against the ledger of processed versions, so that the overlap of two reads is removed and neither a failure nor a late row
+skips or repeats a version.
 """
 
 from __future__ import annotations
 
-import json
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from corpusloom.functions.paths import canonical_path
+from corpusloom.session import materialize
 
 KEY = ["tree_id", "file_path"]
 
@@ -30,22 +32,21 @@ def processed_ledger(journal: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def current_versions(catalog: DataFrame) -> DataFrame:
-    """One row per file: the version in its rows of the highest ``scan_no`` and the smallest ``scan_row_id`` with that version.
+def keyed(catalog: DataFrame) -> DataFrame:
+    """The files of the catalog, with their canonical path: ``tree_id, file_path, version, scan_no, scan_row_id, loaded_at``.
 
-    If rows of that scan disagree, the latest time counts (a time before null). Rows without a tree or path are no files and
-    are left out. Extra columns are ignored. Both groupings pre-aggregate before their shuffle, so a tree that holds a third
-    of all rows is spread by path.
+    Rows without a tree or path are no files and are left out. Extra columns are ignored.
     """
     known = catalog.where("tree_id IS NOT NULL AND rel_path IS NOT NULL")  # before the path crosses into Python
-    rows = known.select(
-        "tree_id",
-        canonical_path(F.col("rel_path")).alias("file_path"),
-        F.col("mtime").alias("version"),
-        "scan_no",
-        "scan_row_id",
-        "loaded_at",
-    )
+    return known.select("tree_id", canonical_path(F.col("rel_path")).alias("file_path"), F.col("mtime").alias("version"), "scan_no", "scan_row_id", "loaded_at")
+
+
+def current_versions(rows: DataFrame) -> DataFrame:
+    """Of ``keyed`` rows, one row per file: the version in its rows of the highest ``scan_no`` and the smallest ``scan_row_id`` with that version.
+
+    If rows of that scan disagree, the latest time counts (a time before null). Both groupings pre-aggregate before their
+    shuffle, so a tree that holds a third of all rows is spread by path.
+    """
     versions = rows.groupBy(*KEY, "version").agg(
         F.max("scan_no").alias("scan_no"), F.min("scan_row_id").alias("scan_row_id"), F.min("loaded_at").alias("loaded_at")
     )
@@ -53,61 +54,88 @@ def current_versions(catalog: DataFrame) -> DataFrame:
     return versions.groupBy(*KEY).agg(last.alias("last")).select(*KEY, "last.version", "last.scan_row_id", "last.scan_no", "last.loaded_at")
 
 
-def pending_versions(catalog: DataFrame, journal: DataFrame, runs: DataFrame, reread_from: datetime | None = None) -> DataFrame:
-    """The file versions that the next run has to process, each once: ``tree_id, file_path, version, scan_row_id, scan_no, loaded_at``.
-
-    ``reread_from`` is the low watermark saved by the last run; None (no run yet, or no saved state) reads the whole catalog.
-    With a watermark only the files touched since it (or at an unknown time) are read, but each with its whole history, so that a late row of an old
-    scan can't pass for the current version. Empty tables give no rows; null states, times and flags never count as done.
-    """
-    if reread_from is not None:
-        keyed = catalog.withColumn("file_path", canonical_path(F.col("rel_path")))
-        touched = keyed.where((F.col("loaded_at") >= F.lit(reread_from)) | F.col("loaded_at").isNull()).select(*KEY).distinct()
-        catalog = keyed.join(touched, KEY, "left_semi").drop("file_path")
-    now, done = current_versions(catalog).alias("now"), processed_ledger(journal, runs).alias("done")
+def pending_versions(rows: DataFrame, journal: DataFrame, runs: DataFrame) -> DataFrame:
+    """The file versions of ``keyed`` rows that are still to be processed, each once: ``tree_id, file_path, version, scan_row_id,
+    scan_no, loaded_at``. Empty tables give no rows; null states, times and flags never count as done."""
+    now, done = current_versions(rows).alias("now"), processed_ledger(journal, runs).alias("done")
     same = [F.col(f"now.{k}") == F.col(f"done.{k}") for k in KEY] + [F.col("now.version").eqNullSafe(F.col("done.version"))]
     return now.join(done, same[0] & same[1] & same[2], "left_anti")
 
 
-class Watermark:
-    """The saved low watermark: the oldest time from which a row may still matter after a run committed."""
+def next_versions(rows: DataFrame, journal: DataFrame, runs: DataFrame, state: RunState) -> DataFrame:
+    """``pending_versions`` for the run after the committed ``state``: only files that were touched since the oldest transaction
+    then open (or at an unknown time), and those then pending, are read; each with its whole history, so that a late row of an
+    old scan can't pass for the current version. Without a usable state everything is read."""
+    saved = state.read(runs)
+    if saved is None:
+        return pending_versions(rows, journal, runs)
+    since, pending = saved
+    touched = rows.where((F.col("loaded_at") >= F.lit(since)) | F.col("loaded_at").isNull()).select(*KEY)
+    return pending_versions(rows.join(touched.union(pending).distinct(), KEY, "left_semi"), journal, runs)
 
-    def __init__(self, path: str):
-        self.path = path
 
-    def read(self, runs: DataFrame | None = None) -> datetime | None:
-        """The time to reread from; None (everything) also where a run of ``runs`` whose output had been kept at the commit is no
-        longer so, as the versions it had done may be of any age."""
+class RunState:
+    """What a run leaves to the next, in a folder that all machines share; written by Spark.
+
+    The pending files are written first, then the row of ``marks`` that names them: a commit is that row. A run that fails
+    before leaves the state as it was, and the next one rereads rather than skips.
+    """
+
+    MARKS = "number int, reread_from timestamp_ntz, kept array<int>"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _last(self):
         try:
-            with open(self.path) as f:
-                saved = json.load(f)
-        except FileNotFoundError:
+            return self.spark.read.schema(self.MARKS).parquet(f"{self.folder}/marks").orderBy(F.desc("number")).first()
+        except AnalysisException as e:  # nothing was committed yet
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
             return None
-        if runs is not None and (kept := set(saved.get("kept", []))) and not kept <= _kept(runs):
+
+    def read(self, runs: DataFrame) -> tuple[datetime, DataFrame] | None:
+        """The time to reread from and the files then pending; None (read everything) if nothing was committed, if that time is
+        unknown, or if a run whose output had been kept at the commit is no longer so, as what it had done may be of any age."""
+        last = self._last()
+        if last is None or last.reread_from is None or not set(last.kept) <= _kept(runs):
             return None
-        at = saved["reread_from"]
-        return datetime.fromisoformat(at) if at else None
-
-    def commit(self, catalog: DataFrame, still_open: DataFrame, runs: DataFrame | None = None) -> datetime | None:
-        """Save after a run: the oldest open version's load time, else the newest load time; but no later than the start of any
-        run that has not ended or whose output was not kept, which may yet show rows loaded since then (all is reread where that
-        start is unknown). Without ``runs`` no scan may be open. Written aside and renamed, so a failure leaves the old state and
-        the next run rereads rather than skips."""
-        import os
-
-        at = still_open.agg(F.min("loaded_at")).first()[0] or catalog.agg(F.max("loaded_at")).first()[0]
-        kept: set[int] = set()
-        if runs is not None:
-            kept = _kept(runs)
-            unsettled = runs.where(F.col("ended_at").isNull() | ~F.coalesce("output_kept", F.lit(False)))
-            start, n, known = unsettled.agg(F.min("started_at"), F.count("*"), F.count("started_at")).first()
-            at = None if n > known or at is None else min(at, start) if n else at
-        with open(self.path + ".new", "w") as f:
-            json.dump({"reread_from": at.isoformat() if at else None, "kept": sorted(kept)}, f)
-        os.replace(self.path + ".new", self.path)
+        return last.reread_from, self.spark.read.schema("tree_id int, file_path string").parquet(f"{self.folder}/pending-{last.number}")
+
+    def commit(self, rows: DataFrame, pending: DataFrame, runs: DataFrame) -> datetime | None:
+        """Save the state after a run over ``keyed`` rows: reread from the newest load time, but no later than the start of any
+        run that has not ended or whose output was not kept, which may yet show rows loaded since then."""
+        last = self._last()
+        number = last.number + 1 if last else 1
+        at = rows.agg(F.max("loaded_at")).first()[0]
+        unsettled = runs.where(F.col("ended_at").isNull() | ~F.coalesce("output_kept", F.lit(False)))
+        start, n, known = unsettled.agg(F.min("started_at"), F.count("*"), F.count("started_at")).first()
+        at = None if n > known or at is None else min(at, start) if n else at
+        pending.select(F.col("tree_id").cast("int").alias("tree_id"), "file_path").write.mode("overwrite").parquet(f"{self.folder}/pending-{number}")
+        mark = self.spark.createDataFrame([(number, at, sorted(_kept(runs)))], self.MARKS)
+        mark.coalesce(1).write.mode("append").parquet(f"{self.folder}/marks")
         return at
 
 
+def as_of(catalog: DataFrame, journal: DataFrame, runs: DataFrame, at: datetime) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``keyed`` rows, journal and runs as they stood at a time; runs that had not ended are open."""
+    when = F.lit(at)
+    then = runs.where(F.coalesce(F.col("started_at") <= when, F.lit(True))).withColumn("ended_at", F.when(F.col("ended_at") <= when, F.col("ended_at")))
+    return catalog.where(F.col("loaded_at") <= when), journal.where(F.col("logged_at") <= when), then
+
+
+def replayed(catalog: DataFrame, journal: DataFrame, runs: DataFrame, folder: str) -> DataFrame:
+    """The versions that the next run has to process, through the state that the last run which ended has left (committed here
+    from the tables as they stood then, as no run of theirs left one)."""
+    rows = materialize(keyed(catalog), "files")
+    state = RunState(catalog.sparkSession, folder)
+    ended = runs.agg(F.max("ended_at")).first()[0]
+    if ended is not None:
+        old_rows, old_journal, old_runs = as_of(rows, journal, runs, ended)
+        state.commit(old_rows, pending_versions(old_rows, old_journal, old_runs), old_runs)
+    return next_versions(rows, journal, runs, state)
+
+
 def _kept(runs: DataFrame) -> set[int]:
     """The runs whose output is kept; the table has one row per run."""
     return {r.scan_no for r in runs.where("output_kept AND scan_no IS NOT NULL").select("scan_no").distinct().collect()}

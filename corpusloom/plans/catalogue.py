@@ -6,6 +6,7 @@ are derived from the id (``virtual_files``), by the same expressions in Spark an
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,7 +16,7 @@ from corpusloom.functions import files as X
 from corpusloom.operators import duplicates, incremental, render, truncation, volumes
 from corpusloom.operators import eligibility as E
 from corpusloom.operators.ordering import numbered
-from corpusloom.session import table
+from corpusloom.session import shared_dir, table
 
 VIRTUAL_EXTENSIONS = (".txt", ".md", ".log", ".py", ".json", ".csv", ".param", ".bin")
 CAPACITY = 65_536
@@ -403,14 +404,21 @@ def log_truncate(spark, sf_dir):
 
 
 def p5_found(spark, sf_dir):
-    pending = incremental.pending_versions(table(spark, sf_dir, "file_catalog"), table(spark, sf_dir, "run_journal"), table(spark, sf_dir, "scan_runs"))
-    return pending.select("scan_row_id")
+    folder = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
+    tables = (table(spark, sf_dir, t) for t in ("file_catalog", "run_journal", "scan_runs"))
+    return incremental.replayed(*tables, folder).select("scan_row_id")
+
+
+def p5_first(spark, sf_dir):
+    """The same where no run has left any state: everything is read."""
+    rows = incremental.keyed(table(spark, sf_dir, "file_catalog"))
+    return incremental.pending_versions(rows, table(spark, sf_dir, "run_journal"), table(spark, sf_dir, "scan_runs")).select("scan_row_id")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        p5_found, catalog_classify, kind_summary, kinds_of_catalog, size_class_hist, file_ids, file_id_collisions, purge_flags, eligibility_reasons, reject_breakdown,
+        p5_found, p5_first, catalog_classify, kind_summary, kinds_of_catalog, size_class_hist, file_ids, file_id_collisions, purge_flags, eligibility_reasons, reject_breakdown,
         reject_buckets, recorded_breakdown, hash_algos, hash_outcomes, unhashed, dup_groups, dup_roles, dup_summary, dup_report, volume_plan, volume_stats, volume_links,
         oversize_parts, spec_lookup, param_rows, param_counts, csv_escape, human_bytes, safe_filename, code_fence, block_bytes, hex_preview, compact_metadata, json_validity,
         pending_files, status_summary, ocr_totals, toc_rows, inventory_tsv, head_tail_sample, type_histogram, row_limit_per_group, converted, txt_blocks, html_to_md,
@@ -468,11 +476,11 @@ _PARAM_SQL = (
 )
 
 SQL = {
-    "p5_found": f"WITH f AS (SELECT tree_id, {_PATH_SQL} AS p, mtime, scan_no, scan_row_id FROM file_catalog WHERE tree_id IS NOT NULL AND rel_path IS NOT NULL), "
+    **dict.fromkeys(("p5_found", "p5_first"), f"WITH f AS (SELECT tree_id, {_PATH_SQL} AS p, mtime, scan_no, scan_row_id FROM file_catalog WHERE tree_id IS NOT NULL AND rel_path IS NOT NULL), "
     "t AS (SELECT tree_id, p, mtime, row_number() OVER (PARTITION BY tree_id, p ORDER BY scan_no DESC, mtime DESC NULLS LAST) AS n FROM f), "
     f"d AS (SELECT DISTINCT tree_id, {_PATH_SQL} AS p, mtime FROM run_journal WHERE lower(trim(state)) = 'done' AND scan_no IN (SELECT scan_no FROM scan_runs WHERE output_kept)) "
     "SELECT min(f.scan_row_id) AS scan_row_id FROM t JOIN f ON f.tree_id = t.tree_id AND f.p = t.p AND f.mtime IS NOT DISTINCT FROM t.mtime WHERE t.n = 1 "
-    "AND NOT EXISTS (SELECT 1 FROM d WHERE d.tree_id = t.tree_id AND d.p = t.p AND d.mtime IS NOT DISTINCT FROM t.mtime) GROUP BY t.tree_id, t.p",
+    "AND NOT EXISTS (SELECT 1 FROM d WHERE d.tree_id = t.tree_id AND d.p = t.p AND d.mtime IS NOT DISTINCT FROM t.mtime) GROUP BY t.tree_id, t.p"),
     "catalog_classify": VIRTUAL_SQL + "SELECT doc_id, rel_path, ext, kind, size_bytes, size_class, file_id, mtime FROM v",
     "kind_summary": VIRTUAL_SQL + "SELECT kind, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM v GROUP BY kind",
     "kinds_of_catalog": f"SELECT {_KINDS_SQL} AS derived_kind, count(*) AS files FROM (SELECT {SUFFIX_SQL} AS ext FROM file_catalog) GROUP BY 1",

@@ -1,5 +1,6 @@
 import io
 import os
+import random
 import struct
 import tarfile
 import zipfile
@@ -175,33 +176,61 @@ def test_pending_versions(spark, tmp_path):
     )
     journal = spark.createDataFrame([(1, 1, "a/x", t(2), "started"), (1, 2, "./b", t(1), "done"), (2, 1, "b", None, "done"), (None, 1, None, None, None)], "scan_no int, tree_id int, rel_path string, mtime timestamp_ntz, state string")
     runs = spark.createDataFrame([(1, True), (2, False)], "scan_no int, output_kept boolean")
-    pending = incremental.pending_versions(catalog, journal, runs)
-    assert rows(pending, "scan_row_id") == [(2,), (3,)]
-    mark = incremental.Watermark(str(tmp_path / "w"))
-    assert mark.read() is None
-    assert mark.commit(catalog, pending) == t(2) == mark.read()
-    assert rows(incremental.pending_versions(catalog, journal, runs, mark.read()), "scan_row_id") == [(2,), (3,)]
-    empty = catalog.where("false")
-    assert incremental.pending_versions(empty, journal.where("false"), runs).count() == 0
+    seen = incremental.keyed(catalog)
+    assert rows(incremental.pending_versions(seen, journal, runs), "scan_row_id") == [(2,), (3,)]
+    assert incremental.pending_versions(seen.where("false"), journal.where("false"), runs).count() == 0
 
 
-def test_watermark_of_open_and_discarded_runs(spark, tmp_path):
+FILES = "scan_row_id bigint, scan_no int, tree_id int, rel_path string, mtime timestamp_ntz, loaded_at timestamp_ntz"
+JOURNAL = "scan_no int, tree_id int, rel_path string, mtime timestamp_ntz, state string"
+RUNS = "scan_no int, started_at timestamp_ntz, ended_at timestamp_ntz, output_kept boolean"
+
+
+def test_the_next_run_rereads_from_the_oldest_open_run(spark, tmp_path):
+    t = lambda d: datetime(2024, 1, d)
+    first = [(1, 1, 1, "a", t(1), t(2)), (2, 1, 1, "b", t(1), t(2)), (3, 2, 1, "c", t(1), t(9))]
+    then = incremental.keyed(spark.createDataFrame(first, FILES))
+    done = [(1, 1, "a", t(1), "done"), (1, 1, "c", t(1), "done")]
+    journal = spark.createDataFrame(done, JOURNAL)
+    runs = spark.createDataFrame([(1, t(1), t(3), True), (2, t(5), None, True)], RUNS)
+    state = incremental.RunState(spark, f"file://{tmp_path}/state")
+    pending = incremental.next_versions(then, journal, runs, state)
+    assert rows(pending, "scan_row_id") == [(2,)], "nothing committed: everything is read"
+    assert state.commit(then, pending, runs) == t(5), "run 2 is open"
+    since, carried = state.read(runs)
+    assert since == t(5) and rows(carried) == [(1, "b")]
+    # Rows of the open run with an older load time than the newest, rows of unknown time; not read: a row older than the mark,
+    # which can't be new. So a run that ignored the mark would find it.
+    late = [*first, (4, 2, 1, "d", t(1), t(6)), (5, 2, 1, "e", t(1), None), (6, 1, 1, "x", t(1), t(2))]
+    now = incremental.keyed(spark.createDataFrame(late, FILES))
+    assert rows(incremental.next_versions(now, journal, runs, state), "scan_row_id") == [(2,), (4,), (5,)]
+    # A run that fails leaves the state, whatever it had written, and the next one finds the same.
+    now.select("tree_id", "file_path").write.parquet(f"file://{tmp_path}/state/pending-2")
+    more = spark.createDataFrame([*done, (2, 1, "b", t(1), "done"), (2, 1, "d", t(1), "failed")], JOURNAL)
+    again = incremental.next_versions(now, more, runs, state)
+    assert rows(again, "scan_row_id") == [(4,), (5,)]
+    state.commit(now, again, runs)
+    assert rows(state.read(runs)[1]) == [(1, "d"), (1, "e")] and rows(incremental.next_versions(now, more, runs, state), "scan_row_id") == [(4,), (5,)]
+    # A run whose output is discarded after the commit: what it had done may be of any age.
+    discarded = spark.createDataFrame([(1, t(1), t(3), False), (2, t(5), t(9), True)], RUNS)
+    assert state.read(discarded) is None
+    assert rows(incremental.next_versions(now, more, discarded, state), "scan_row_id") == [(1,), (3,), (4,), (5,), (6,)]
+    unknown = spark.createDataFrame([(1, None, None, None)], RUNS)
+    assert state.commit(now, again, unknown) is None and state.read(unknown) is None
+
+
+def test_replayed_state_gives_what_a_full_read_gives(spark, tmp_path):
     t = lambda d: datetime(2024, 1, d)
-    kinds = "scan_row_id bigint, scan_no int, tree_id int, rel_path string, mtime timestamp_ntz, loaded_at timestamp_ntz"
-    seen = [(1, 1, 1, "a", t(1), t(2)), (2, 2, 1, "b", t(1), t(9))]
-    catalog = spark.createDataFrame(seen, kinds)
-    late = spark.createDataFrame([*seen, (3, 2, 1, "c", t(1), t(6)), (4, 2, 1, "d", t(1), None)], kinds)
-    journal = spark.createDataFrame([(1, 1, "a", t(1), "done"), (1, 1, "b", t(1), "done")], "scan_no int, tree_id int, rel_path string, mtime timestamp_ntz, state string")
-    kinds = "scan_no int, started_at timestamp_ntz, ended_at timestamp_ntz, output_kept boolean"
-    runs = spark.createDataFrame([(1, t(1), t(3), True), (2, t(5), None, True)], kinds)
-    mark = incremental.Watermark(str(tmp_path / "w"))
-    assert mark.commit(catalog, incremental.pending_versions(catalog, journal, runs), runs) == t(5) == mark.read(runs)
-    assert rows(incremental.pending_versions(late, journal, runs, mark.read(runs)), "scan_row_id") == [(3,), (4,)]
-    discarded = spark.createDataFrame([(1, t(1), t(3), False), (2, t(5), t(9), True)], kinds)
-    assert rows(incremental.pending_versions(late, journal, discarded, mark.read(discarded)), "scan_row_id") == [(1,), (2,), (3,), (4,)]
-    assert mark.commit(catalog, catalog.where("false"), discarded) == t(1)
-    unknown = spark.createDataFrame([(1, None, None, None)], kinds)
-    assert mark.commit(catalog, catalog.where("false"), unknown) is None and mark.read(unknown) is None
+    r = random.Random(4)
+    files = [(i, 1 + i % 4, i % 3, f"f{r.randrange(60)}", t(1 + r.randrange(4)), t(2 + i % 4 * 5 + r.randrange(9))) for i in range(400)]
+    logged = [(t(3 + 5 * n), 1 + n, r.randrange(3), f"f{r.randrange(60)}", t(1 + r.randrange(4)), r.choice(["done", "failed"])) for n in range(4) for _ in range(150)]
+    catalog = spark.createDataFrame(files, FILES)
+    journal = spark.createDataFrame(logged, "logged_at timestamp_ntz, " + JOURNAL)
+    runs = spark.createDataFrame([(1, t(1), t(4), True), (2, t(6), t(9), False), (3, t(11), t(14), True), (4, t(16), None, True)], RUNS)
+    full = rows(incremental.pending_versions(incremental.keyed(catalog), journal, runs), "scan_row_id")
+    assert full and rows(incremental.replayed(catalog, journal, runs, f"file://{tmp_path}/s"), "scan_row_id") == full
+    none = runs.where("false")
+    assert rows(incremental.replayed(catalog, journal, none, f"file://{tmp_path}/n"), "scan_row_id") == rows(incremental.pending_versions(incremental.keyed(catalog), journal, none), "scan_row_id")
 
 
 def test_stream_processes_each_version_once(spark, tmp_path):

@@ -8,6 +8,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, fields, replace
 from datetime import datetime
 
+from corpusloom.functions.files import IMAGE_EXTENSIONS
 from corpusloom.operators.eligibility import ExtensionRule, Rules, SizeRule, parse_date
 from corpusloom.operators.truncation import TruncationRule
 
@@ -46,7 +47,7 @@ class Settings:
     ocr_engine: str = _setting("OCR_ENGINE", str, "accurate_basic")
     ocr_max_retries: int = _setting("OCR_MAX_RETRIES", int, 3)
     ocr_min_interval: float = _setting("OCR_MIN_INTERVAL", float, 0.5)
-    ocr_image_exts: frozenset[str] = _setting("OCR_IMAGE_EXTS", extensions, extensions("png,jpg,jpeg,gif,webp,bmp,tiff"))
+    ocr_image_exts: frozenset[str] = _setting("OCR_IMAGE_EXTS", extensions, frozenset(IMAGE_EXTENSIONS))
     ocr_max_image_bytes: int = _setting("OCR_MAX_IMAGE_BYTES", int, 4 << 20)
     mtime_filter: bool = _setting("MTIME_FILTER_ENABLED", truth, False)
     mtime_after: datetime | None = _setting("MTIME_FILTER_AFTER", _date, None)

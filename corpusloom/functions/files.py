@@ -22,7 +22,7 @@ EXTENSION_KINDS = {
     ".zip": "archive_zip", ".jar": "archive_zip", ".war": "archive_zip", ".apk": "archive_zip", ".rar": "archive_rar", ".7z": "archive_7z",
     ".tar": "archive_tar", ".tgz": "archive_tar", ".tbz2": "archive_tar", ".txz": "archive_tar", ".gz": "archive_gz", ".bz2": "archive_gz", ".xz": "archive_gz",
 }
-IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".tiff", ".webp", ".gif")
+IMAGE_EXTENSIONS = (".png", ".jpg", ".jpeg", ".gif", ".webp", ".bmp", ".tiff")
 
 # The language of a code kind's fence.
 FENCE_LANGUAGES = {

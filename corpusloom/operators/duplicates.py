@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.ordering import numbered
+from corpusloom.operators.skew import join_counts
+from corpusloom.session import materialize
 
 
 def content_hash(content: Column, algo: str = "sha256") -> Column:
@@ -56,12 +58,15 @@ def duplicate_groups(files: DataFrame, path: str = "rel_path", size: str = "size
     )
 
 
-def duplicate_roles(files: DataFrame, path: str = "rel_path", size: str = "size_bytes") -> DataFrame:
-    """Every file of a duplicate group with its role, ``MAIN`` or ``DUP``: a join with the groups, without a window over them."""
-    groups = duplicate_groups(files, path, size)
-    return files.join(groups.select("content_hash", "files", "main_path", "redundant_bytes"), "content_hash").withColumn(
-        "role", F.when(F.col(path) == F.col("main_path"), "MAIN").otherwise("DUP")
-    )
+def duplicate_roles(files: DataFrame, path: str = "rel_path", size: str = "size_bytes", keep: tuple[str, ...] | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """Every file of a duplicate group with its role, ``MAIN`` or ``DUP``, and the columns ``keep`` (all, if None); ``groups`` may
+    bring numbers along. A content that a third of all files share is joined without bringing them together."""
+    if groups is None:
+        groups = duplicate_groups(files, path, size)
+    groups = materialize(groups.drop("main_size"), "groups")
+    wanted = files if keep is None else files.select("content_hash", *dict.fromkeys((*keep, path)))
+    rows = materialize(wanted.where(F.col("content_hash").isNotNull()), "hashed")
+    return join_counts(rows, groups, "content_hash", "files").withColumn("role", F.when(F.col(path) == F.col("main_path"), "MAIN").otherwise("DUP"))
 
 
 def ranked_groups(groups: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from corpusloom.session import materialize
 def numbered(df: DataFrame, order: list[Column], name: str = "idx") -> DataFrame:
     """``df`` with 1-based numbers in an order, by ranges: each range counts itself and adds what lies before it.
 
+    All of ``df`` is written once, so it should have no more columns than are needed.
     No task sees more than its range, unlike a window over everything.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -48,7 +48,8 @@ def inventory_tsv(catalog: DataFrame) -> DataFrame:
     def flat(c: Column) -> Column:
         return F.regexp_replace(F.coalesce(c, F.lit("")), "[\t\n]", " ")
 
-    rows = numbered(catalog, [F.lower("rel_path"), F.col("rel_path")])
+    wanted = ["file_id", "rel_path", "kind", "size_bytes", "size_class", "mtime", "ctime", "ctime_source", "eligible", "eligibility_reasons"]
+    rows = numbered(catalog.select(*wanted), [F.lower("rel_path"), F.col("rel_path")])
     cells = ["file_id", flat(F.col("rel_path")), "kind", F.col("size_bytes").cast("string"), "size_class", X.iso_seconds(F.col("mtime"), ""), X.iso_seconds(F.col("ctime"), ""), "ctime_source"]
     line = F.concat_ws("\t", F.col("idx").cast("string"), *cells, F.col("eligible").cast("int").cast("string"), flat(F.array_join("eligibility_reasons", "; ")))
     return rows.select("idx", line.alias("line"))
@@ -70,11 +71,10 @@ def index_line(idx: Column, rel: Column, fid: Column, status: Column, kind: Colu
 
 def duplicate_lines(files: DataFrame) -> DataFrame:
     """``group_no, role, line``: the machine-readable index of duplicate groups, the main file of each first."""
-    from corpusloom.operators.duplicates import duplicate_groups, ranked_groups
+    from corpusloom.operators.duplicates import duplicate_groups, duplicate_roles, ranked_groups
 
-    groups = ranked_groups(duplicate_groups(files)).select("content_hash", "group_no", "main_path")
-    role = F.when(F.col("rel_path") == F.col("main_path"), "MAIN").otherwise("DUP")
-    rows = files.join(groups, "content_hash").withColumn("role", role)
+    groups = ranked_groups(duplicate_groups(files))
+    rows = duplicate_roles(files, keep=("file_id", "size_bytes", "rel_path"), groups=groups)
     line = F.concat_ws("\t", F.col("group_no").cast("string"), "role", "file_id", F.col("size_bytes").cast("string"), "rel_path")
     return rows.select("group_no", F.when(F.col("role") == "MAIN", 0).otherwise(1).alias("second"), "rel_path", line.alias("line"))
 
@@ -98,7 +98,8 @@ def front_matter(entries: DataFrame, catalog: DataFrame, source: str, inventory:
     parts = [rows(status_summary(entries), 0, F.lit(""), counts)]
     if inventory:
         parts += [title(1, "## 📚 完整文件目录\n\n```tsv\nidx\tfile_id\trel_path\tkind\tsize_bytes\tsize_class\tmtime\tctime\tctime_source\teligible\treasons"), rows(inventory_tsv(catalog), 2, number("idx"), F.col("line")), title(3, "```\n\n---\n")]
-    listed = numbered(entries, [F.lower("rel_path"), F.col("rel_path")])
+    wanted = ["rel_path", "file_id", "kind", "status"] if metadata is None else [c for c in entries.columns if c not in ("markdown", "extra", "warnings")]
+    listed = numbered(entries.select(*wanted), [F.lower("rel_path"), F.col("rel_path")])
     parts += [title(4, "## 📑 目录 (Table of Contents)\n"), rows(listed, 5, number("idx"), toc_line(F.col("idx"), F.col("rel_path"), F.col("file_id"), F.col("kind"), F.col("status"), metadata)), title(6, "\n---\n")]
     if duplicates:
         order = F.concat(number("group_no"), F.col("second").cast("string"), F.lower("rel_path"))
@@ -156,6 +157,22 @@ def render_table(df: DataFrame, title: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(head,)], "value string").unionByName(lines)
 
 
+def report_document(sections: dict[str, DataFrame]) -> DataFrame:
+    """``key, section, line, block``: the report as lines of Markdown in order, a table a section; ``block`` ends a line.
+
+    A section's rows stand in the order of their text, so that the document is the same each time and nothing is sorted in one task.
+    """
+    out = None
+    for i, (name, df) in enumerate(sections.items(), 1):
+        head = f"\n## {i}. {name}\n\n| " + " | ".join(df.columns) + " |\n| " + " | ".join("---" for _ in df.columns) + " |\n"
+        cells = [X.table_cell(F.concat_ws("; ", F.col(f.name)) if f.dataType.typeName() == "array" else F.col(f.name).cast("string")) for f in df.schema]
+        lines = df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |\n")).alias("block"))
+        first = df.sparkSession.createDataFrame([(i, "", head)], "section int, line string, block string")
+        part = first.unionByName(lines.select(F.lit(i).alias("section"), F.col("block").alias("line"), "block"))
+        out = part if out is None else out.unionByName(part)
+    return out.distinct().withColumn("key", F.sha1(F.concat_ws("#", F.col("section").cast("string"), "line")))
+
+
 def rejected_tree(catalog: DataFrame) -> DataFrame:
     """``depth, line``: what was rejected, as an indented tree; one row a file, ordered by path when written."""
     parts = F.split("rel_path", "/")

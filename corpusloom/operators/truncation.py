@@ -154,6 +154,42 @@ def shorten_log(raw: bytes, max_bytes: int, head_ratio: float = 0.5) -> Shortene
     return Shortened(raw[:a] + mark + raw[b:], True, n, a, n - b, [])
 
 
+def summary(layer: str, requested: Column) -> Column:
+    """What was cut off, in a sentence, from the columns of ``truncate_items``."""
+
+    def part(text: str, n: str) -> Column:
+        return F.when(F.col(n) > 0, F.format_string(text, F.col(n)))
+
+    middle = F.when(F.col("middle_bytes") > 0, F.format_string("中间 %d/%d×块 共 %,d", "chunks_kept", requested, "middle_bytes"))
+    kept = F.concat_ws(" + ", part("头 %,d", "head_bytes"), part("尾 %,d", "tail_bytes"), middle)
+    tail = F.when(kept != "", F.format_string("（%s，舍弃 %,d）", kept, F.col("skipped_bytes"))).otherwise("")
+    return F.concat(F.format_string(f"已截断[{layer}]: 原始 %,d → 保留 %,d 字节", "original_bytes", "kept_bytes"), tail)
+
+
+def with_post_truncation(converted: DataFrame, key: str, rules: dict[str, TruncationRule], rule: str, hint: str, seed: int = 0) -> DataFrame:
+    """Conversions (``markdown``, ``warnings``, ``extra`` as JSON, and the columns ``rule`` and ``hint``) with the Markdown of
+    successes shortened by their rule; a warning says so and ``extra.post_truncation`` how."""
+    fits = (F.col("status") == "success") & (F.octet_length("markdown") > 0)
+    cut = truncate_items(converted.where(fits), key, F.col("markdown"), F.col(hint), rules, F.col(rule), seed, "POST-CONVERT TRUNCATED").where("truncated")
+    chunks = F.create_map(*(F.lit(x) for n, r in rules.items() for x in (n, r.bytes_wanted()[3]))) if rules else F.lit(None)
+    spec = F.create_map(*(F.lit(x) for n, r in rules.items() for x in (n, r.describe()))) if rules else F.lit(None)
+    both = converted.join(cut.withColumnRenamed("content", "_cut"), key, "left")
+    requested = F.coalesce(F.try_element_at(chunks, F.col(rule)), F.lit(0)) if rules else F.lit(0)
+    numbers = ("original_bytes", "kept_bytes", "head_bytes", "tail_bytes", "middle_bytes", F.col("chunks_kept").alias("middle_chunks_kept"), requested.alias("middle_chunks_requested"), "skipped_bytes")
+    info = F.to_json(F.struct(F.lit(True).alias("truncated"), *numbers, (F.try_element_at(spec, F.col(rule)) if rules else F.lit("")).alias("spec")))
+    open_, old = F.expr("left(extra, length(extra) - 1)"), F.get_json_object("extra", "$.truncated")
+    added = F.concat(open_, F.when(F.col("extra") == "{}", "").otherwise(", "), F.lit('"post_truncation": '), info, F.when(old.isNull(), ', "truncated": true').otherwise(""), F.lit("}"))
+    was = F.col("_cut").isNotNull()
+    changed = both.withColumns(
+        {
+            "markdown": F.when(was, F.col("_cut").cast("string")).otherwise(F.col("markdown")),
+            "warnings": F.when(was, F.concat(F.coalesce("warnings", F.array().cast("array<string>")), F.array(summary("post-convert", requested)))).otherwise(F.col("warnings")),
+            "extra": F.when(was, added).otherwise(F.col("extra")),
+        }
+    )
+    return changed.select(*converted.columns)
+
+
 _STRUCT = pa.struct(
     [("content", pa.binary()), ("truncated", pa.bool_()), ("original_bytes", pa.int64()), ("kept_bytes", pa.int64()), ("head_bytes", pa.int64()), ("tail_bytes", pa.int64())]
     + [("middle_bytes", pa.int64()), ("skipped_bytes", pa.int64()), ("chunks_kept", pa.int32()), ("sample_offsets", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]

@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,20 +90,34 @@ def next_fit(blocks: DataFrame, order: list[Column], key: str, size: str, capaci
         cols = list(zip(*entered)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["part", "volume", "carried"])
 
-    entries = table.coalesce(1).mapInArrow(chain, "part bigint, volume bigint, carried bigint")  # at most a volume's blocks a range
+    # One task chains the ranges' tables, of at most a volume's blocks a range; they are written first, so that it tabulates nothing.
+    entries = materialize(table, "breaks").repartition(1).mapInArrow(chain, "part bigint, volume bigint, carried bigint")
     entry = {r.part: (r.volume, r.carried) for r in entries.collect()}  # one row a range
     sent = spark.sparkContext.broadcast(entry)
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict[int, list[int]] = {}
+        state: dict[int, tuple[int, int]] = {}
         for batch in batches:
-            out = []
-            for p, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                s = state.setdefault(p, list(sent.value[p]))
-                if s[1] + n > capacity and s[1] > 0:
-                    s[0], s[1] = s[0] + 1, 0
-                s[1] += n
-                out.append(s[0])
+            parts, sizes = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            out = np.empty(len(sizes), np.int64)
+            starts = np.flatnonzero(np.diff(parts, prepend=parts[:1] - 1))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(parts)]):
+                volume, fill = state.get(int(parts[a]), sent.value[int(parts[a])])
+                ends = np.concatenate([[0], np.cumsum(sizes[a:b])])
+                at = 0
+                while at < b - a:  # a step a volume
+                    upto = int(np.searchsorted(ends, ends[at] + capacity - fill, "right")) - 1
+                    if upto <= at and fill == 0:  # an oversized block, alone but for empty ones before it
+                        upto = at + 1
+                    elif fill == 0 and upto < b - a and ends[upto] == ends[at]:
+                        upto += 1
+                    if upto > at:
+                        out[a + at : a + upto] = volume
+                        fill += int(ends[upto] - ends[at])
+                        at = upto
+                    if at < b - a:
+                        volume, fill = volume + 1, 0
+                state[int(parts[a])] = volume, fill
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.int64())], [key, "size", "volume"])
 
     rows = ordered.select("_part", *names, key, "size").repartition(ranges, "_part").sortWithinPartitions("_part", *names)
@@ -144,23 +157,26 @@ def cut_points(raw: bytes, first: int, later: int) -> list[int]:
 
 
 def oversize_parts(blocks: DataFrame, key: str, text: str, capacity: int) -> DataFrame:
-    """``key, part, parts, byte_start, byte_end``: every block as parts that fit a volume; one part if it fits whole.
+    """``key, part, parts, byte_start, byte_end, block``: every block as parts that fit a volume, with the text of each; one part if
+    it fits whole.
 
     Only oversized blocks cross into Python. A part leaves 512 bytes for the marks of its continuation.
     """
     kind = blocks.schema[key].dataType.simpleString()
     n = F.octet_length(text).cast("bigint")
-    whole = blocks.where(n <= capacity).select(key, F.lit(1).alias("part"), F.lit(1).alias("parts"), F.lit(0).cast("bigint").alias("byte_start"), n.alias("byte_end"))
+    whole = blocks.where(n <= capacity).select(key, F.lit(1).alias("part"), F.lit(1).alias("parts"), F.lit(0).cast("bigint").alias("byte_start"), n.alias("byte_end"), F.col(text).alias("block"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, t in zip(batch.column(0), batch.column(1).to_pylist()):
-                ends = cut_points(t.encode(), capacity - 512, capacity - 512)
+                raw = t.encode()
+                ends = cut_points(raw, capacity - 512, capacity - 512)
                 m = len(ends)
-                cols = [pa.array([k.as_py()] * m, batch.schema.field(0).type), pa.array(range(1, m + 1), pa.int32()), pa.array([m] * m, pa.int32()), pa.array([0, *ends[:-1]], pa.int64()), pa.array(ends, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, [key, "part", "parts", "byte_start", "byte_end"])
+                said = [raw[a:b].decode() for a, b in zip([0, *ends], ends)]
+                cols = [pa.array([k.as_py()] * m, batch.schema.field(0).type), pa.array(range(1, m + 1), pa.int32()), pa.array([m] * m, pa.int32()), pa.array([0, *ends[:-1]], pa.int64()), pa.array(ends, pa.int64()), pa.array(said, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, [key, "part", "parts", "byte_start", "byte_end", "block"])
 
-    return whole.unionByName(blocks.where(n > capacity).select(key, text).mapInArrow(cut, f"`{key}` {kind}, part int, parts int, byte_start bigint, byte_end bigint"))
+    return whole.unionByName(blocks.where(n > capacity).select(key, text).mapInArrow(cut, f"`{key}` {kind}, part int, parts int, byte_start bigint, byte_end bigint, block string"))
 
 
 def _volume_name(name: str, volume: int, total: int) -> str:
@@ -178,26 +194,22 @@ def write_volumes(plan: DataFrame, blocks: DataFrame, key: str, text: str, order
     placed = rows.repartition("volume").sortWithinPartitions("volume", *order).select("volume", text)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+        from corpusloom.sources.files import Aside
 
         now, f, made = None, None, []
-        attempt = TaskContext.get().taskAttemptId()
 
         def close() -> None:
             if f is not None:
                 f.write(f"\n---\n\n# End of Volume {now} / {total}\n{'# END OF BUNDLE' if now == total else f'- 下一卷: {_volume_name(name, now + 1, total)}'}\n".encode())
-                made.append((now, path, f.tell()))
                 f.close()
-                os.replace(f"{path}.{attempt}", path)
+                made.append((now, f.path, f.bytes))
 
-        path = ""
         for batch in batches:
             for volume, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if volume != now:
                     close()
-                    now, path = volume, f"{out_dir}/{_volume_name(name, volume, total)}"
-                    os.makedirs(out_dir, exist_ok=True)
-                    f = open(f"{path}.{attempt}", "wb")
+                    now = volume
+                    f = Aside(out_dir, _volume_name(name, volume, total))
                     before = _volume_name(name, volume - 1, total) if volume > 1 else "无(本卷为首卷)"
                     f.write(f"# Volume {volume} of {total}\n\n- 上一卷: {before}\n\n---\n\n".encode())
                 f.write((block or "").encode())

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.config import Settings
@@ -15,6 +15,7 @@ from corpusloom.operators import eligibility as E
 from corpusloom.operators.ordering import numbered
 from corpusloom.session import materialize
 from corpusloom.sources.converters import Converter, Options, convert_files
+from corpusloom.sources.files import write_files
 from corpusloom.sources.filetree import scan, with_content
 
 #: Bytes of a volume that are kept for its head and tail.
@@ -35,21 +36,45 @@ def catalog(spark: SparkSession, s: Settings) -> DataFrame:
     return E.with_eligibility(found, rules)
 
 
+#: The kinds whose bytes may be cut before they are converted; of all others only the Markdown is, afterwards.
+TEXT_KINDS = ("txt", "markdown", "html", "json", "csv", "param", "log", "rlog", *X.FENCE_LANGUAGES)
+
+
+def _truncation(s: Settings) -> tuple[dict[str, truncation.TruncationRule], Column]:
+    """The rules by name and the name of each row's rule, by its extension, else its kind."""
+    if not s.truncation:
+        return {}, F.lit("none")
+    every = {"default": s.truncation_rules.default} | {f"kind {k}": r for k, r in s.truncation_rules.by_kind.items()} | {f"ext {e}": r for e, r in s.truncation_rules.by_ext.items()}
+    by_ext, by_kind = F.concat(F.lit("ext "), F.col("ext")), F.concat(F.lit("kind "), F.col("kind"))
+    rule = F.when(F.col("ext").isin(*s.truncation_rules.by_ext), by_ext).when(F.col("kind").isin(*s.truncation_rules.by_kind), by_kind).otherwise("default")
+    return {n: r for n, r in every.items() if r.keeps_something}, rule
+
+
 def extract(files: DataFrame, s: Settings, plugins: dict[str, Converter] | None = None) -> DataFrame:
-    """Converted rows of the eligible files (``file_key`` and the conversion), shortened before and after conversion by their rules."""
-    with_bytes = with_content(files.where("eligible").select("file_key", "path", "rel_path", "ext", "kind"))
-    rules, rule = {}, F.lit("none")
-    if s.truncation:
-        every = {"default": s.truncation_rules.default} | {f"kind {k}": r for k, r in s.truncation_rules.by_kind.items()} | {f"ext {e}": r for e, r in s.truncation_rules.by_ext.items()}
-        rules = {n: r for n, r in every.items() if r.keeps_something}
-        by_ext, by_kind = F.concat(F.lit("ext "), F.col("ext")), F.concat(F.lit("kind "), F.col("kind"))
-        rule = F.when(F.col("ext").isin(*s.truncation_rules.by_ext), by_ext).when(F.col("kind").isin(*s.truncation_rules.by_kind), by_kind).otherwise("default")
-    content = with_bytes
+    """Converted rows of the eligible files (``file_key`` and the conversion).
+
+    By its rule, a text kind is shortened before it is converted and every success afterwards; both leave a warning. Zipped,
+    executable and other binary files are read whole.
+    """
+    known = files.where("eligible").select("file_key", "path", "rel_path", "ext", "kind")
+    content = with_content(known)
+    rules, rule = _truncation(s)
+    said = None
+    if rules:
+        text = F.col("kind").isin(*TEXT_KINDS) & F.col("content").isNotNull()
+        cut = truncation.truncate_items(content.where(text), "file_key", F.col("content"), F.col("rel_path"), rules, rule, s.truncation_seed, "PRE-READ TRUNCATED")
+        cut = materialize(cut.where("truncated"), "cut")
+        said = cut.select("file_key", truncation.summary("pre-read", F.size("sample_offsets")).alias("_said"))
+        content = content.join(cut.select("file_key", F.col("content").alias("_cut")), "file_key", "left").withColumn("content", F.coalesce("_cut", "content"))
+    options = Options(csv_rows=s.csv_max_rows, log_bytes=s.log_max_bytes, log_head_ratio=s.log_head_ratio, scanned_chars_per_page=s.scanned_chars_per_page, image_bytes=s.ocr_max_image_bytes)
+    done = convert_files(content, "file_key", "kind", "content", "rel_path", options, plugins, reason="read_error")
     if rules:
-        cut = truncation.truncate_items(with_bytes.where("content IS NOT NULL"), "file_key", F.col("content"), F.col("rel_path"), rules, rule, s.truncation_seed, "PRE-READ TRUNCATED")
-        content = with_bytes.drop("content").join(cut.select("file_key", "content"), "file_key", "left")
-    options = Options(csv_rows=s.csv_max_rows, log_bytes=s.log_max_bytes, log_head_ratio=s.log_head_ratio, scanned_chars_per_page=s.scanned_chars_per_page)
-    return convert_files(content, "file_key", "kind", "content", "rel_path", options, plugins)
+        before = F.when(F.col("_said").isNotNull(), F.array("_said")).otherwise(F.array().cast("array<string>"))
+        done = done.join(said, "file_key", "left").withColumn("warnings", F.concat(before, F.coalesce("warnings", F.array().cast("array<string>")))).drop("_said")
+        named = materialize(done, "converted").join(known.select("file_key", "rel_path", rule.alias("_rule"), "kind"), "file_key")
+        named = named.withColumn("_rule", F.when(F.col("kind") == "unsupported", "none").otherwise(F.col("_rule")))
+        done = truncation.with_post_truncation(named, "file_key", rules, "_rule", "rel_path", s.truncation_seed).select(*done.columns)
+    return done
 
 
 def run(spark: SparkSession, s: Settings, plugins: dict[str, Converter] | None = None, completed: DataFrame | None = None) -> dict[str, str]:
@@ -76,9 +101,8 @@ def run(spark: SparkSession, s: Settings, plugins: dict[str, Converter] | None =
     block = render.file_block(F.col("rel_path"), F.col("file_id"), F.col("kind"), F.col("size_bytes"), F.col("warnings"), body, metadata)
     capacity = s.max_size_mb * (1 << 20) - RESERVE
     blocks = materialize(entries.select("file_key", "rel_path", block.alias("block")), "blocks")
-    parts = volumes.oversize_parts(blocks, "file_key", "block", capacity).join(blocks, "file_key")
-    text = F.substring(F.encode("block", "UTF-8"), (F.col("byte_start") + 1).cast("int"), (F.col("byte_end") - F.col("byte_start")).cast("int"))
-    parts = parts.select(F.concat_ws("#", "file_key", "part").alias("part_key"), F.lit(99).alias("section"), F.lower("rel_path").alias("o1"), "rel_path", "part", F.decode(text, "UTF-8").alias("block"))
+    parts = volumes.oversize_parts(blocks, "file_key", "block", capacity).join(blocks.select("file_key", "rel_path"), "file_key")
+    parts = parts.select(F.concat_ws("#", "file_key", "part").alias("part_key"), F.lit(99).alias("section"), F.lower("rel_path").alias("o1"), "rel_path", "part", "block")
     toc = None
     if s.metadata and s.metadata_position in ("toc", "both"):
         c = F.col
@@ -100,11 +124,16 @@ def run(spark: SparkSession, s: Settings, plugins: dict[str, Converter] | None =
     files.write.mode("overwrite").parquet(f"{out}/journal/files")
     done.write.mode("overwrite").parquet(f"{out}/journal/entries")
     if s.keep_intermediate:
+        folder = f"{out}/{s.intermediate_subdir}"
         name = F.concat(F.col("file_id"), F.lit("__"), X.safe_name(F.col("rel_path")))
-        listed = numbered(entries, [F.lower("rel_path"), F.col("rel_path")])
+        listed = numbered(entries.select("rel_path", "file_id", "status", "kind"), [F.lower("rel_path"), F.col("rel_path")])
         line = render.index_line(F.col("idx"), F.col("rel_path"), F.col("file_id"), F.col("status"), F.col("kind"))
-        listed.select("idx", line.alias("line")).orderBy("idx").select("line").write.mode("overwrite").text(f"{out}/{s.intermediate_subdir}_index")
-        entries.select(name.alias("name"), "status", "markdown", "extra").write.mode("overwrite").json(f"{out}/{s.intermediate_subdir}")
+        listed.select("idx", line.alias("line")).orderBy("idx").select("line").write.mode("overwrite").text(f"{folder}_index")
+        each = entries.select(name.alias("name"), F.explode(F.array(F.struct(F.lit(".md").alias("suffix"), F.coalesce("markdown", F.lit("")).alias("text")), F.struct(F.lit(".extra.json").alias("suffix"), F.coalesce("extra", F.lit("{}")).alias("text")))).alias("f"))
+        write_files(each.select(F.concat("name", "f.suffix").alias("name"), "f.text"), folder).write.mode("overwrite").parquet(f"{folder}_files")
+    report = render.report_document(render.report_sections(entries, catalog_rows))
+    plan = volumes.next_fit(report.withColumn("n", F.octet_length("block")), [F.col("section"), F.col("line")], "key", "n", capacity)
+    volumes.write_volumes(plan, report, "key", "block", ["section", "line"], out, "conversion_report").write.mode("overwrite").parquet(f"{out}/report/document")
     return {"output": out}
 
 

@@ -157,17 +157,21 @@ def hash_algos(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *(duplicates.content_hash(t, a).alias(a) for a in ("sha256", "sha1", "md5")))
 
 
-def _hashed(spark, sf_dir) -> DataFrame:
+#: The size limit of the two queries about what is not hashed; about a third of the texts are longer.
+HASH_LIMIT = 4096
+
+
+def _hashed(spark, sf_dir, max_bytes: int = 0) -> DataFrame:
     v = virtual_files(spark, sf_dir)
-    return duplicates.with_hash(v, F.col("text"), F.col("size_bytes"), "sha256", 40_000)
+    return duplicates.with_hash(v, F.col("text"), F.col("size_bytes"), "sha256", max_bytes)
 
 
 def hash_outcomes(spark, sf_dir):
-    return duplicates.hash_outcomes(_hashed(spark, sf_dir))
+    return duplicates.hash_outcomes(_hashed(spark, sf_dir, HASH_LIMIT))
 
 
 def unhashed(spark, sf_dir):
-    return _hashed(spark, sf_dir).where("content_hash IS NULL").select("doc_id", F.col("content_hash_skipped_reason").alias("reason"))
+    return _hashed(spark, sf_dir, HASH_LIMIT).where("content_hash IS NULL").select("doc_id", F.col("content_hash_skipped_reason").alias("reason"))
 
 
 def dup_groups(spark, sf_dir):
@@ -175,7 +179,7 @@ def dup_groups(spark, sf_dir):
 
 
 def dup_roles(spark, sf_dir):
-    return duplicates.duplicate_roles(_hashed(spark, sf_dir)).select("doc_id", "content_hash", "role", "files", "main_path")
+    return duplicates.duplicate_roles(_hashed(spark, sf_dir), keep=("doc_id", "size_bytes", "rel_path")).select("doc_id", "content_hash", "role", "files", "main_path")
 
 
 def dup_summary(spark, sf_dir):
@@ -186,7 +190,8 @@ def dup_report(spark, sf_dir):
     return duplicates.ranked_groups(duplicates.duplicate_groups(_hashed(spark, sf_dir))).select("group_no", F.substring("content_hash", 1, 16).alias("hash_prefix"), "files", "main_path", "redundant_bytes")
 
 
-HASHED_SQL = VIRTUAL_SQL + ", h AS (SELECT *, CASE WHEN size_bytes <= 40000 THEN sha256(text) END AS content_hash, CASE WHEN size_bytes > 40000 THEN 'size>40000' WHEN text IS NULL THEN 'read_error' END AS reason FROM v), "
+HASHED_SQL = VIRTUAL_SQL + ", h AS (SELECT *, sha256(text) AS content_hash FROM v), "
+LIMITED_SQL = VIRTUAL_SQL + f", h AS (SELECT *, CASE WHEN size_bytes <= {HASH_LIMIT} THEN sha256(text) END AS content_hash, CASE WHEN size_bytes > {HASH_LIMIT} THEN 'size>{HASH_LIMIT}' WHEN text IS NULL THEN 'read_error' END AS reason FROM v) "
 GROUPS_SQL = (
     HASHED_SQL + "m AS (SELECT content_hash, rel_path, size_bytes, row_number() OVER (PARTITION BY content_hash ORDER BY lower(rel_path), rel_path, size_bytes) AS n, count(*) OVER (PARTITION BY content_hash) AS files "
     "FROM h WHERE content_hash IS NOT NULL), g AS (SELECT content_hash, files, rel_path AS main_path, size_bytes AS main_size, size_bytes * (files - 1) AS redundant_bytes FROM m WHERE n = 1 AND files > 1) "
@@ -214,7 +219,7 @@ def volume_links(spark, sf_dir):
 
 def oversize_parts(spark, sf_dir):
     d = table(spark, sf_dir, "conversions").where("markdown IS NOT NULL")
-    return volumes.oversize_parts(d, "conv_id", "markdown", 16_384)
+    return volumes.oversize_parts(d, "conv_id", "markdown", 16_384).drop("block")
 
 
 PLAN_SQL = (
@@ -495,8 +500,8 @@ SQL = {
     "reject_buckets": JUDGED_SQL + "SELECT count(*) FILTER (reasons = '') AS eligible, " + ", ".join(f"count({n}) AS {n}" for n in FAIL_SQL) + " FROM r",
     "recorded_breakdown": "SELECT split_part(r, ':', 1) AS filter, count(*) AS files FROM (SELECT unnest(eligibility_reasons) AS r FROM file_catalog) WHERE r IS NOT NULL GROUP BY 1",
     "hash_algos": "SELECT doc_id, sha256(text) AS sha256, sha1(text) AS sha1, md5(text) AS md5 FROM documents",
-    "hash_outcomes": HASHED_SQL + "q AS (SELECT 1) SELECT count(content_hash) AS ok, count(*) FILTER (reason = 'size>40000') AS oversize, count(*) FILTER (reason = 'read_error') AS failed FROM h",
-    "unhashed": HASHED_SQL + "q AS (SELECT 1) SELECT doc_id, reason FROM h WHERE content_hash IS NULL",
+    "hash_outcomes": LIMITED_SQL + f"SELECT count(content_hash) AS ok, count(*) FILTER (reason = 'size>{HASH_LIMIT}') AS oversize, count(*) FILTER (reason = 'read_error') AS failed FROM h",
+    "unhashed": LIMITED_SQL + "SELECT doc_id, reason FROM h WHERE content_hash IS NULL",
     "dup_groups": GROUPS_SQL + "SELECT * FROM g",
     "dup_roles": GROUPS_SQL + "SELECT doc_id, h.content_hash, CASE WHEN h.rel_path = g.main_path THEN 'MAIN' ELSE 'DUP' END AS role, files, main_path FROM h JOIN g USING (content_hash)",
     "dup_summary": GROUPS_SQL + "SELECT count(*) AS groups, CAST(coalesce(sum(files), 0) AS BIGINT) AS files, CAST(coalesce(sum(files - 1), 0) AS BIGINT) AS redundant_files, CAST(coalesce(sum(redundant_bytes), 0) AS BIGINT) AS redundant_bytes FROM g",

@@ -580,8 +580,9 @@ _NATIVE = {"txt": "text", **FENCE_LANGUAGES}
 _FIELDS = [("status", pa.string()), ("markdown", pa.string()), ("warnings", pa.list_(pa.string())), ("error", pa.string()), ("skip_reason", pa.string()), ("extra", pa.string())]
 
 
-def convert_files(files: DataFrame, key: str, kind: str, content: str, name: str, options: Options = Options(), plugins: dict[str, Converter] | None = None) -> DataFrame:
-    """``key, status, markdown, warnings, error, skip_reason, extra`` (JSON) of every file. ``content`` is binary."""
+def convert_files(files: DataFrame, key: str, kind: str, content: str, name: str, options: Options = Options(), plugins: dict[str, Converter] | None = None, reason: str | None = None) -> DataFrame:
+    """``key, status, markdown, warnings, error, skip_reason, extra`` (JSON) of every file. ``content`` is binary; where it
+    is null the row fails with the column ``reason``."""
     if plugins is None:
         plugins = {}
     native = F.col(kind).isin(*[k for k in (*_NATIVE, "markdown") if k not in plugins]) & F.is_valid_utf8(F.col(content).cast("string"))
@@ -599,11 +600,15 @@ def convert_files(files: DataFrame, key: str, kind: str, content: str, name: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [convert_bytes(k or "unsupported", c.as_py(), n or "", options, plugins) for k, c, n in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist())]
+            for r, c, why in zip(got, batch.column(2), batch.column(4).to_pylist()):
+                if not c.is_valid:
+                    r.error = why or "read_error"
             rows = [(r.status, r.markdown, r.warnings, r.error, r.skip_reason, json.dumps(r.extra, ensure_ascii=False, default=str)) for r in got]
             cols = list(zip(*rows)) or [[]] * len(_FIELDS)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, (_, t) in zip(cols, _FIELDS))], [key, *(n for n, _ in _FIELDS)])
 
-    rest = files.where(~native).select(key, kind, content, name)
+    why = F.col(reason) if reason else F.lit(None).cast("string")
+    rest = files.where(~native).select(key, kind, content, name, why.alias("_reason"))
     return kept.unionByName(rest.mapInArrow(run, f"`{key}` {key_type}, status string, markdown string, warnings array<string>, error string, skip_reason string, extra string"))
 
 

@@ -1,6 +1,9 @@
+import hashlib
 import io
+import json
 import os
 import random
+import re
 import struct
 import tarfile
 import zipfile
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import files as X
 from corpusloom.functions.paths import canonical_path
 from corpusloom.operators import duplicates, eligibility, incremental, ordering, truncation, volumes
+from corpusloom.session import shared_dir
 from corpusloom.sources import converters as C
 
 
@@ -344,6 +348,53 @@ def test_log_binary():
 # -- a whole run -------------------------------------------------------------------------------------------------------------------------
 
 
+def test_truncation_before_and_after_conversion(spark, tmp_path):
+    """Text kinds are cut before conversion, all successes after it; zipped files are read whole."""
+    from corpusloom.config import load
+    from corpusloom.plans import bundle
+
+    tree = tmp_path / "tree"
+    tree.mkdir()
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for i in range(400):
+            z.writestr(f"entry-{i:04}.bin", random.Random(i).randbytes(300))
+    (tree / "a.zip").write_bytes(packed.getvalue())
+    (tree / "long.txt").write_bytes(b"line of text\n" * 20_000)
+    (tree / "short.txt").write_bytes(b"short\n")
+    env = {"TRUNC_DEFAULT_ENABLED": "1", "TRUNC_DEFAULT_HEAD_MB": "0.01", "TRUNC_DEFAULT_TAIL_MB": "0.005", "TRUNC_DEFAULT_CHUNK_MB": "0", "TRUNC_DEFAULT_MIDDLE_CHUNKS": "0", "KEEP_INTERMEDIATE_FILES": "1"}
+    s = load({"input_dir": str(tree), "output_dir": str(tmp_path / "out"), "output_timestamp": False}, env)
+    files = bundle.catalog(spark, s)
+    got = {r.rel_path: r for r in bundle.extract(files, s).join(files.select("file_key", "rel_path"), "file_key").collect()}
+    whole, cut = json.loads(got["a.zip"].extra), json.loads(got["long.txt"].extra)
+    assert whole["original_bytes"] == len(packed.getvalue()) and whole["sha1"] == hashlib.sha1(packed.getvalue()).hexdigest() and whole["entries_count"] == 400
+    assert whole["post_truncation"]["truncated"] and whole["truncated"] and any("post-convert" in w for w in got["a.zip"].warnings) and not any("pre-read" in w for w in got["a.zip"].warnings)
+    assert any(w.startswith("已截断[pre-read]: 原始 260,000 → 保留") for w in got["long.txt"].warnings) and len(got["long.txt"].markdown) < 20_000
+    assert cut["chars"] < 20_000 and got["short.txt"].warnings == [] and "post_truncation" not in json.loads(got["short.txt"].extra)
+    out = bundle.run(spark, s)["output"]
+    index = "".join(open(f"{out}/intermediate_index/{p}", encoding="utf-8").read() for p in os.listdir(f"{out}/intermediate_index") if p.startswith("part"))
+    links = re.findall(r"\]\(\./([^)]+)\)", index)
+    assert len(links) == 6 and all(os.path.exists(f"{out}/intermediate/{n}") for n in links)
+
+
+def test_dup_roles_of_a_hot_hash(spark):
+    files = spark.range(9000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("h"), (F.col("id") / 6).cast("int"))).alias("content_hash"), F.concat(F.lit("p"), F.col("id")).alias("rel_path"), F.col("id").alias("size_bytes"))
+    got = duplicates.duplicate_roles(files)
+    assert got.where("content_hash = 'hot'").groupBy("role").count().orderBy("role").collect() == [("DUP", 2999), ("MAIN", 1)]
+    assert got.count() == rows(duplicates.duplicate_totals(duplicates.duplicate_groups(files)), "files")[0][0]
+
+
+def test_ranges_are_tabulated_by_tasks_of_their_own(spark):
+    """The one task that chains the ranges reads their written tables: it has no part in sorting or tabulating."""
+    df = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("n"))
+    folder = shared_dir(spark).removeprefix("file://")
+    got = volumes.next_fit(df, [F.col("k")], "k", "n", 25, ranges=8)
+    newest = max((f"{folder}/{f}" for f in os.listdir(folder) if f.startswith("breaks-")), key=os.path.getmtime)
+    written = [f for f in os.listdir(newest) if f.endswith(".parquet")]
+    assert len(written) > 1, "more than one task tabulated"
+    assert got.count() == 5000
+
+
 def test_bundle(spark, tmp_path):
     from corpusloom.config import load
     from corpusloom.plans import bundle
@@ -358,7 +409,9 @@ def test_bundle(spark, tmp_path):
     assert entries.count() == 5
     assert spark.read.parquet(out + "/journal/files").count() == 6
     assert spark.read.parquet(out + "/report/duplicates").first().files == 2
-    parts = sorted(p for p in os.listdir(out) if p.endswith(".md"))
+    report = "".join(open(f"{out}/{p}", encoding="utf-8").read() for p in sorted(os.listdir(out)) if p.startswith("conversion_report"))
+    assert "## 1. overview" in report and "| B.txt | txt | 1 |" in report and "ext_filter" in report
+    parts = sorted(p for p in os.listdir(out) if p.startswith("merged") and p.endswith(".md"))
     assert len(parts) == 3 and all(os.path.getsize(f"{out}/{p}") <= 1 << 20 for p in parts)
     text = "".join(open(f"{out}/{p}", encoding="utf-8").read() for p in parts)
     assert text.count("===== FILE START:") == 5 and text.count("line of text\n") == 100_000

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 import os
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +18,8 @@ from corpusloom.operators.ordering import numbered
 from corpusloom.session import materialize
 from corpusloom.sources.converters import Converter, Options, convert_files
 from corpusloom.sources.files import write_files
-from corpusloom.sources.filetree import scan, with_content
+from corpusloom.sources.filetree import purge_counts, scan, with_content
+from corpusloom.sources.ocr import OcrClient, Patience, image_converter
 
 #: Bytes of a volume that are kept for its head and tail.
 RESERVE = 1024
@@ -36,6 +39,11 @@ def catalog(spark: SparkSession, s: Settings) -> DataFrame:
     return E.with_eligibility(found, rules)
 
 
+def purged(spark: SparkSession, s: Settings) -> DataFrame:
+    """``reason, files``: how many files of the tree are never catalogued, by reason."""
+    return purge_counts(spark, s.input_dir, tuple(s.purge_dirs), tuple(s.purge_names), tuple(s.purge_suffixes))
+
+
 #: The kinds whose bytes may be cut before they are converted; of all others only the Markdown is, afterwards.
 TEXT_KINDS = ("txt", "markdown", "html", "json", "csv", "param", "log", "rlog", *X.FENCE_LANGUAGES)
 
@@ -77,13 +85,24 @@ def extract(files: DataFrame, s: Settings, plugins: dict[str, Converter] | None
     return done
 
 
-def run(spark: SparkSession, s: Settings, plugins: dict[str, Converter] | None = None, completed: DataFrame | None = None) -> dict[str, str]:
+def ocr_plugins(s: Settings, make_client: Callable[[], OcrClient] | None) -> dict[str, Converter]:
+    """The converter of images if OCR is enabled and a service is given; else images are skipped."""
+    if not s.ocr_enabled or make_client is None:
+        return {}
+    return {"image": image_converter(make_client, Patience(s.ocr_max_retries, s.ocr_min_interval))}
+
+
+def run(spark: SparkSession, s: Settings, plugins: dict[str, Converter] | None = None, completed: DataFrame | None = None, make_client: Callable[[], OcrClient] | None = None) -> dict[str, str]:
     """Write the volumes, the report's tables and the journal below the output directory (shared by all executors).
 
-    ``completed`` (``file_key`` and a conversion, from an earlier run's journal) is taken over; only other files are converted.
+    ``make_client`` makes the OCR service's client inside a worker. ``completed`` (``file_key`` and a conversion, from an earlier run's journal) is taken over; only other files are converted.
     """
     out = s.output_dir + (datetime.now().strftime("_%Y%m%d_%H%M%S") if s.output_timestamp else "")
+    plugins = ocr_plugins(s, make_client) | (plugins or {})
+    log = logging.getLogger("corpusloom")
+    log.setLevel(s.log_level.upper())
     files = materialize(catalog(spark, s), "catalog")
+    log.info("catalogued %s", s.input_dir)
     if s.needs_hash:
         read = with_content(files.where("eligible"))
         hashed = duplicates.with_hash(read, F.col("content"), F.col("size_bytes"), s.hash_algo, s.hash_max_bytes).drop("content", "read_error")
@@ -93,6 +112,7 @@ def run(spark: SparkSession, s: Settings, plugins: dict[str, Converter] | None =
     if completed is not None:
         done = done.unionByName(completed.join(files.where("eligible").select("file_key"), "file_key", "left_semi"))
     done = materialize(done, "conversions")
+    log.info("converted")
     entries = done.join(files, "file_key")
     metadata = None
     if s.metadata and s.metadata_position in ("body", "both") and s.needs_hash:
@@ -131,9 +151,11 @@ def run(spark: SparkSession, s: Settings, plugins: dict[str, Converter] | None =
         listed.select("idx", line.alias("line")).orderBy("idx").select("line").write.mode("overwrite").text(f"{folder}_index")
         each = entries.select(name.alias("name"), F.explode(F.array(F.struct(F.lit(".md").alias("suffix"), F.coalesce("markdown", F.lit("")).alias("text")), F.struct(F.lit(".extra.json").alias("suffix"), F.coalesce("extra", F.lit("{}")).alias("text")))).alias("f"))
         write_files(each.select(F.concat("name", "f.suffix").alias("name"), "f.text"), folder).write.mode("overwrite").parquet(f"{folder}_files")
-    report = render.report_document(render.report_sections(entries, catalog_rows))
+    sections = {"purged": purged(spark, s)} | render.report_sections(entries, catalog_rows)
+    report = render.report_document(sections)
     plan = volumes.next_fit(report.withColumn("n", F.octet_length("block")), [F.col("section"), F.col("line")], "key", "n", capacity)
     volumes.write_volumes(plan, report, "key", "block", ["section", "line"], out, "conversion_report").write.mode("overwrite").parquet(f"{out}/report/document")
+    log.info("written to %s", out)
     return {"output": out}
 
 

@@ -1,7 +1,7 @@
 """Kinds of files to Markdown. Every converter is a function of bytes; none raises: what fails is a row that says so.
 
 Kinds whose text needs no parsing (``txt``, ``markdown``, code) stay inside the JVM while they are valid UTF-8; the rest is
-read by Arrow functions. Kinds that need a service or library which isn't there (OCR, PDF, 7z, RAR) take a plug-in.
+read by Arrow functions. Kinds that need a service or library which isn't there (OCR, 7z, RAR) take a plug-in.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.files import ALGO_LABELS, FENCE_LANGUAGES, fenced
 from corpusloom.operators.truncation import shorten_log
+from corpusloom.sources.pdf import page_texts
 
 try:
     from charset_normalizer import from_bytes
@@ -548,6 +549,23 @@ def office_runs(raw: bytes, name: str, o: Options) -> Result:
     return Result(markdown=f"```text\n{text}\n```\n", warnings=["仅抽取可打印字串，格式信息丢失"], extra={"engine": "runs", "wps_format": "ole", "chars": len(text)})
 
 
+def is_scanned(chars: int, pages: int, least: int = 50) -> bool:
+    """Whether a PDF has so little text a page that it must be a scan."""
+    return pages > 0 and chars / pages < least
+
+
+def pdf(raw: bytes, name: str, o: Options) -> Result:
+    """Text page by page; a file of pages that hardly have any counts as scanned."""
+    texts = [t.strip() for t in page_texts(raw)]
+    chars = len("\n\n".join(texts).strip())
+    scanned = is_scanned(chars, len(texts), o.scanned_chars_per_page)
+    warnings = [f"图片型 PDF 嫌疑：平均每页字符数 {chars / len(texts):.1f} < 阈值 {o.scanned_chars_per_page}"] if scanned else []
+    notice = "> ⚠️ **警告：检测到此 PDF 可能为扫描件/图片型 PDF**\n> 自动文本提取可能不完整或为空。建议使用 OCR 工具后再转换。\n\n" if scanned else ""
+    pages = "".join(f"### Page {i}\n\n{t or '_（本页未提取到文本）_'}\n\n" for i, t in enumerate(texts, 1))
+    out = f"{notice}- 页数: {len(texts)}\n- 提取字符数: {chars}\n\n{pages}"
+    return Result(markdown=out, warnings=warnings, extra={"chars": chars, "pages": len(texts), "is_scanned_pdf": scanned})
+
+
 def skipped(reason: str) -> Callable[[bytes, str, Options], Result]:
     return lambda raw, name, o: Result("skipped", markdown=f"> {reason}\n", skip_reason=reason)
 
@@ -557,15 +575,10 @@ Converter = Callable[[bytes, str, Options], Result]
 CONVERTERS: dict[str, Converter] = {
     "txt": plain, "markdown": markdown, "json": json_text, "csv": csv_table, "xlsx": xlsx_sheets, "docx": docx_text, "html": html, "param": param,
     "log": log, "rlog": rlog, "tlog": tlog, "wps": office_runs, "doc": office_runs, "xls": office_runs, "ppt": office_runs, "exe": exe,
-    "pdf": skipped("no PDF reader is plugged in"), "image": skipped("OCR is not enabled"), "unsupported": skipped("unsupported file kind"),
+    "pdf": pdf, "image": skipped("OCR is not enabled"), "unsupported": skipped("unsupported file kind"),
 } | {k: code(v) for k, v in FENCE_LANGUAGES.items()} | {k: archive(k) for k in ("archive_zip", "archive_tar", "archive_7z", "archive_rar", "archive_gz")}
 
 
-def is_scanned(chars: int, pages: int, least: int = 50) -> bool:
-    """Whether a PDF has so little text a page that it must be a scan."""
-    return pages > 0 and chars / pages < least
-
-
 def convert_bytes(kind: str, raw: bytes | None, name: str, options: Options = Options(), plugins: dict[str, Converter] | None = None) -> Result:
     """One file to Markdown; whatever a converter raises becomes a failed result."""
     if raw is None:

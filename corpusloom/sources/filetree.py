@@ -70,12 +70,24 @@ class FileTree(DataSource):
         return FileTreeReader(self.options)
 
 
+def _purged(dirs: tuple[str, ...], names: tuple[str, ...], suffixes: tuple[str, ...]) -> Column:
+    return X.purge_reason(F.col("rel_path"), X.PURGED_DIRECTORIES + dirs, X.PURGED_NAMES + names, X.PURGED_SUFFIXES + tuple(s.lower() for s in suffixes))
+
+
+def _tree(spark: SparkSession, root: str) -> DataFrame:
+    spark.dataSource.register(FileTree)
+    return spark.read.format("filetree").load(root)
+
+
 def scan(spark: SparkSession, root: str, images: tuple[str, ...] = X.IMAGE_EXTENSIONS, extra_dirs: tuple[str, ...] = (), extra_names: tuple[str, ...] = (), extra_suffixes: tuple[str, ...] = ()) -> DataFrame:
     """The catalog of a tree: purged, classified, with ids; in no order (``catalog_order`` gives the report's)."""
-    spark.dataSource.register(FileTree)
-    found = spark.read.format("filetree").load(root)
-    why = X.purge_reason(F.col("rel_path"), X.PURGED_DIRECTORIES + extra_dirs, X.PURGED_NAMES + extra_names, X.PURGED_SUFFIXES + tuple(s.lower() for s in extra_suffixes))
-    return classified(found.where(why.isNull()), images)
+    return classified(_tree(spark, root).where(_purged(extra_dirs, extra_names, extra_suffixes).isNull()), images)
+
+
+def purge_counts(spark: SparkSession, root: str, extra_dirs: tuple[str, ...] = (), extra_names: tuple[str, ...] = (), extra_suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """``reason, files`` of what ``scan`` leaves out."""
+    why = _purged(extra_dirs, extra_names, extra_suffixes)
+    return _tree(spark, root).select(why.alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("files"))
 
 
 def classified(files: DataFrame, images: tuple[str, ...] = X.IMAGE_EXTENSIONS) -> DataFrame:

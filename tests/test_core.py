@@ -7,6 +7,7 @@ import re
 import struct
 import tarfile
 import zipfile
+import zlib
 from datetime import datetime
 
 import pytest
@@ -266,10 +267,47 @@ def test_text_kinds():
     assert convert("json", b'{"b":1,"a":"\xc3\xa9"}').markdown == '```json\n{\n  "b": 1,\n  "a": "é"\n}\n```\n'
     bad = convert("json", b"{")
     assert bad.status == "success" and bad.warnings
-    assert convert("unsupported", b"x").status == "skipped" and convert("pdf", b"x").status == "skipped"
+    assert convert("unsupported", b"x").status == "skipped"
     assert convert("xlsx", b"broken").status == "failed"
 
 
+def a_pdf(contents, compress, unicode=b""):
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [" + b" ".join(b"%d 0 R" % (10 + 2 * i) for i in range(len(contents))) + b"] /Count %d /Resources << /Font << /F1 3 0 R >> >> >>" % len(contents)]
+    objects.append(b"<< /Type /Font /Subtype /Type0" + (b" /ToUnicode 4 0 R" if unicode else b"") + b" >>")
+    numbered = dict(enumerate(objects, 1))
+    numbered[4] = b"<< /Length %d >>\nstream\n" % len(unicode) + unicode + b"\nendstream"
+    for i, c in enumerate(contents):
+        body = zlib.compress(c) if compress else c
+        numbered[10 + 2 * i] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (11 + 2 * i)
+        numbered[11 + 2 * i] = b"<< /Length %d %s>>\nstream\n" % (len(body), b"/Filter /FlateDecode " if compress else b"") + body + b"\nendstream"
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in sorted(numbered.items())) + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+@pytest.mark.parametrize("compress", [False, True])
+def test_pdf(compress):
+    first = b"BT /F1 12 Tf 72 700 Td (Hello \\(big\\) w\\366rld) Tj 0 -14 Td [(Sec) 20 (ond) -300 (line)] TJ ET"
+    got = convert("pdf", a_pdf([first, b"BT (Page two) Tj T* (end) ' ET"], compress), scanned_chars_per_page=5)
+    assert got.status == "success" and got.extra["pages"] == 2 and not got.extra["is_scanned_pdf"]
+    assert "### Page 1\n\nHello (big) w\u00f6rld\nSecond line\n\n### Page 2\n\nPage two\nend\n" in got.markdown
+
+
+def test_pdf_maps_scans_and_damage():
+    cmap = b"1 beginbfchar <0001> <4F60> endbfchar 1 beginbfrange <0002> <0003> <0041> endbfrange"
+    assert "\u4f60AB" in convert("pdf", a_pdf([b"BT /F1 9 Tf <000100020003> Tj ET"], True, cmap)).markdown
+    scan = convert("pdf", a_pdf([b"q 1 0 0 1 0 0 cm /Im1 Do Q"] * 2, True))
+    assert scan.status == "success" and scan.extra["is_scanned_pdf"] and scan.warnings and "本页未提取到文本" in scan.markdown
+    for bad in (b"x", b"", b"%PDF-1.4\n", b"%PDF-1.4\ntrailer << /Encrypt 5 0 R >>"):
+        assert convert("pdf", bad).status == "failed"
+
+
+def test_ocr_reaches_the_run_only_if_enabled_and_given():
+    from corpusloom.config import load
+    from corpusloom.plans import bundle
+
+    assert bundle.ocr_plugins(load({}, {}), object) == {} == bundle.ocr_plugins(load({}, {"OCR_ENABLED": "1"}), None)
+    assert set(bundle.ocr_plugins(load({}, {"OCR_ENABLED": "1"}), object)) == {"image"}
+
+
 def test_csv():
     got = convert("csv", b"a,b|c\n1,2\n3\n4,5,6\n", csv_rows=1)
     assert "| a | b\\|c |\n| --- | --- |\n| 1 | 2 |\n" in got.markdown
@@ -410,7 +448,7 @@ def test_bundle(spark, tmp_path):
     assert spark.read.parquet(out + "/journal/files").count() == 6
     assert spark.read.parquet(out + "/report/duplicates").first().files == 2
     report = "".join(open(f"{out}/{p}", encoding="utf-8").read() for p in sorted(os.listdir(out)) if p.startswith("conversion_report"))
-    assert "## 1. overview" in report and "| B.txt | txt | 1 |" in report and "ext_filter" in report
+    assert "## 1. purged" in report and "| hidden | 1 |" in report and "## 2. overview" in report and "| B.txt | txt | 1 |" in report and "ext_filter" in report
     parts = sorted(p for p in os.listdir(out) if p.startswith("merged") and p.endswith(".md"))
     assert len(parts) == 3 and all(os.path.getsize(f"{out}/{p}") <= 1 << 20 for p in parts)
     text = "".join(open(f"{out}/{p}", encoding="utf-8").read() for p in parts)

@@ -293,8 +293,10 @@ def block_bytes(spark, sf_dir):
 
 
 def hex_preview(spark, sf_dir):
-    data = F.substring(F.encode("text", "UTF-8"), 1, 40)
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", X.hex_preview(data).alias("preview"))
+    """The first 256 bytes of every text as a dump, and the last 256 of those that have more than both."""
+    data, n = F.encode("text", "UTF-8"), F.octet_length("text")
+    tail = F.when(n > 512, X.hex_preview(F.substring(data, n - 255, F.lit(256))))
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", X.hex_preview(F.substring(data, 1, 256)).alias("head"), tail.alias("tail"))
 
 
 def compact_metadata(spark, sf_dir):
@@ -431,6 +433,16 @@ QUERIES = {
     )
 } | {name: _one_filter(name) for name in E.FILTERS}
 
+
+
+def _dump_sql(hexed: str) -> str:
+    """A hex dump in SQL of a string of hex digits."""
+    pairs = f"list_transform(range(a * 2, least(a * 2 + 32, len({hexed})), 2), lambda i: lower(substr({hexed}, i + 1, 2)))"
+    seen = f"array_to_string(list_transform({pairs}, lambda p: CASE WHEN p BETWEEN '20' AND '7e' THEN chr(CAST('0x' || p AS INT)) ELSE '.' END), '')"
+    line = f"lpad(lower(to_hex(a)), 8, '0') || '  ' || rpad(array_to_string({pairs}, ' '), 47, ' ') || '  |' || {seen} || '|'"
+    return f"CASE WHEN {hexed} = '' THEN '(空)' || chr(10) ELSE array_to_string(list_transform(range(0, len({hexed}) // 2, 16), lambda a: {line}), chr(10)) || chr(10) END"
+
+
 _KINDS_SQL = "CASE " + " ".join(f"WHEN ext = '{e}' THEN '{k}'" for e, k in X.EXTENSION_KINDS.items()) + " WHEN ext IN (" + ", ".join(f"'{e}'" for e in X.IMAGE_EXTENSIONS) + ") THEN 'image' ELSE 'unsupported' END"
 _PATH_SQL = r"nfc_normalize(regexp_replace(regexp_replace(regexp_replace(rel_path, '[\\/]+', '/', 'g'), '^(\./)+', ''), '^/|/\.?$', '', 'g'))"
 
@@ -515,6 +527,11 @@ SQL = {
     "param_rows": _PARAM_SQL + "SELECT doc_id, CAST(pos - 1 AS INTEGER) AS pos, pairs[pos].name AS name, pairs[pos].value AS value FROM (SELECT doc_id, pairs, unnest(range(1, len(pairs) + 1)) AS pos FROM p)",
     "param_counts": _PARAM_SQL + "SELECT doc_id, CAST(len(lines) AS INTEGER) AS lines, CAST(len(pairs) AS INTEGER) AS params, CAST(len(list_filter(lines, lambda x: starts_with(ltrim(x, ' '), '#'))) AS INTEGER) AS comments FROM p",
     "csv_escape": r"SELECT doc_id, md5(regexp_replace(replace(replace(coalesce(text, ''), '\', '\\'), '|', '\|'), '\r\n|\n|\r', ' ', 'g')) AS cell_md5 FROM documents",
+    "hex_preview": f"WITH h AS (SELECT doc_id, hex(encode(text)) AS x FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, substr(x, 1, 512) AS a1, CASE WHEN len(x) > 1024 THEN substr(x, len(x) - 511) END AS z1 FROM h) "
+    f"SELECT doc_id, {_dump_sql('a1')} AS head, CASE WHEN z1 IS NOT NULL THEN {_dump_sql('z1')} END AS tail FROM t",
+    "compact_metadata": f"SELECT scan_row_id, concat_ws(' · ', {_human_sql('bundle')}, 'm:' || strftime(mtime, '%Y-%m-%d'), CASE WHEN ctime_source IN ('birthtime', 'win_ctime') THEN 'b:' || strftime(ctime, '%Y-%m-%d') "
+    "WHEN ctime_source = 'status_ctime' THEN '*c:' || strftime(ctime, '%Y-%m-%d') END, CASE WHEN content_hash <> '' THEN coalesce(content_hash_algo, 'sha256') || ':' || substr(content_hash, 1, 16) "
+    "WHEN content_hash_skipped_reason <> '' THEN coalesce(content_hash_algo, 'sha256') || ':n/a' END) AS metadata FROM file_catalog",
     "human_bytes": "SELECT scan_row_id, " + ", ".join(f"{_human_sql(s)} AS {s}" for s in ("bundle", "dup", "image")) + " FROM file_catalog",
     "safe_filename": r"SELECT scan_row_id, substr(regexp_replace(rel_path, '[^A-Za-z0-9._\-+]+', '_', 'g'), 1, 100) AS safe_name FROM file_catalog",
     "code_fence": VIRTUAL_SQL + "SELECT doc_id, md5('```' || CASE WHEN kind = 'code_py' THEN 'python' ELSE 'text' END || chr(10) || text || chr(10) || '```' || chr(10)) AS fence_md5 FROM v WHERE text IS NOT NULL",

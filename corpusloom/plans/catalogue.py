@@ -16,6 +16,7 @@ from corpusloom.functions import files as X
 from corpusloom.operators import duplicates, incremental, render, truncation, volumes
 from corpusloom.operators import eligibility as E
 from corpusloom.operators.ordering import numbered
+from corpusloom.plans import fixtures
 from corpusloom.session import shared_dir, table
 
 VIRTUAL_EXTENSIONS = (".txt", ".md", ".log", ".py", ".json", ".csv", ".param", ".bin")
@@ -431,7 +432,7 @@ QUERIES = {
         pending_files, status_summary, ocr_totals, toc_rows, inventory_tsv, head_tail_sample, type_histogram, row_limit_per_group, converted, txt_blocks, html_to_md,
         truncate_sample, truncate_totals, log_truncate,
     )
-} | {name: _one_filter(name) for name in E.FILTERS}
+} | {name: _one_filter(name) for name in E.FILTERS} | {"converted_kinds": fixtures.converted_kinds}
 
 
 
@@ -527,6 +528,7 @@ SQL = {
     "param_rows": _PARAM_SQL + "SELECT doc_id, CAST(pos - 1 AS INTEGER) AS pos, pairs[pos].name AS name, pairs[pos].value AS value FROM (SELECT doc_id, pairs, unnest(range(1, len(pairs) + 1)) AS pos FROM p)",
     "param_counts": _PARAM_SQL + "SELECT doc_id, CAST(len(lines) AS INTEGER) AS lines, CAST(len(pairs) AS INTEGER) AS params, CAST(len(list_filter(lines, lambda x: starts_with(ltrim(x, ' '), '#'))) AS INTEGER) AS comments FROM p",
     "csv_escape": r"SELECT doc_id, md5(regexp_replace(replace(replace(coalesce(text, ''), '\', '\\'), '|', '\|'), '\r\n|\n|\r', ' ', 'g')) AS cell_md5 FROM documents",
+    "converted_kinds": fixtures.SQL,
     "hex_preview": f"WITH h AS (SELECT doc_id, hex(encode(text)) AS x FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, substr(x, 1, 512) AS a1, CASE WHEN len(x) > 1024 THEN substr(x, len(x) - 511) END AS z1 FROM h) "
     f"SELECT doc_id, {_dump_sql('a1')} AS head, CASE WHEN z1 IS NOT NULL THEN {_dump_sql('z1')} END AS tail FROM t",
     "compact_metadata": f"SELECT scan_row_id, concat_ws(' · ', {_human_sql('bundle')}, 'm:' || strftime(mtime, '%Y-%m-%d'), CASE WHEN ctime_source IN ('birthtime', 'win_ctime') THEN 'b:' || strftime(ctime, '%Y-%m-%d') "

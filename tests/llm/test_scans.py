@@ -49,7 +49,7 @@ def test_form_feeds_part_pages(spark):
 def test_repetition_and_numbers_across_the_pages_of_a_scan(spark):
     """Forms that are rare in the corpus: only the other pages of the scan tell."""
     a = [("ocr", p, 7, p, f"{'The Winch & Its Care' if p != 2 else 'The VVinch & lts Care'}\n{CLEAN}\n({p + 40})") for p in range(1, 4)]
-    b = [("ocr", 10 + p, 8, p, f"{n}, so it began\n{CLEAN}\nthe same end\n{n}") for p, n in ((1, "731"), (2, "52"))]
+    b = [("ocr", 10 + p, 8, p, f"{first}\n{CLEAN}\nthe same end\n{n}") for p, first, n in ((1, "so it began", "731"), (2, "nobody came back", "52"))]
     c = [("ocr", 20, 9, 1, f"One Page; No More\n{CLEAN}"), ("ocr", 21, 9, 1, f"One Page; No More\n{CLEAN}")]
     got = repaired(spark, a + b + c)
     assert [got["ocr", p].furniture for p in (1, 2, 3)] == [2, 2, 2]

@@ -396,7 +396,9 @@ def repair_scans(records: DataFrame, vocabulary: DataFrame, s: Settings = Settin
     ``records(src, rec_id, scan, page_no, text)``: the pages of a scan share ``scan``; both may be null. ``vocabulary`` is one
     column of texts whose words count as known. Null texts are left out, empty ones come back empty, without defects.
     """
-    records = records.where("text IS NOT NULL").select("src", "rec_id", "scan", "page_no", "text").repartition("src", "rec_id")
+    # With a number given, small inputs are not drawn into one task before they cross into Python.
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    records = records.where("text IS NOT NULL").select("src", "rec_id", "scan", "page_no", "text").repartition(parts, "src", "rec_id")
     records = materialize(records, "records")  # spread evenly, whatever the files they came from
     words = hashed_counts(vocabulary, vocabulary_keys, s.word_bits, 2)
     shapes = hashed_counts(records.select("text"), shape_keys, s.shape_bits, 2)
@@ -409,5 +411,5 @@ def repair_scans(records: DataFrame, vocabulary: DataFrame, s: Settings = Settin
             counts = [pa.array([f[d] for _, f in read], pa.int32()) for d in ("furniture", "hyphen", "misread")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t for t, _ in read], pa.string()), *counts], ["src", "rec_id", "repaired", "furniture", "hyphen", "misread"])
 
-    known = records.select("src", "rec_id", "text").join(repeated_edges(records), ["src", "rec_id"], "left")
+    known = records.select("src", "rec_id", "text").repartition(parts, "src", "rec_id").join(repeated_edges(records).repartition(parts, "src", "rec_id"), ["src", "rec_id"], "left")
     return known.select("src", "rec_id", "text", "lines").mapInArrow(run, "src string, rec_id bigint, repaired string, furniture int, hyphen int, misread int")
